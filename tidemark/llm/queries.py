@@ -3,11 +3,13 @@
 from __future__ import annotations
 
 import corpus_pipeline
-from tidemark.llm import bpe, decontaminate
+from tidemark.llm import bpe, decontaminate, jaccard, sharding
 
 QUERIES = {
+    "op2_feistel_sharding": sharding.op2,
     "op5_benchmark_decontamination": decontaminate.op5,
     "op9_byte_bpe": bpe.op9,
+    "op10_jaccard_join": jaccard.op10,
     "pipeline": corpus_pipeline.run,
 }
 
