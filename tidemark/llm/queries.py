@@ -3,10 +3,11 @@
 from __future__ import annotations
 
 import corpus_pipeline
-from tidemark.llm import bpe, decontaminate, jaccard, sharding
+from tidemark.llm import bpe, decontaminate, jaccard, line_dedup, sharding
 
 QUERIES = {
     "op2_feistel_sharding": sharding.op2,
+    "op3_fuzzy_line_dedup": line_dedup.op3,
     "op5_benchmark_decontamination": decontaminate.op5,
     "op9_byte_bpe": bpe.op9,
     "op10_jaccard_join": jaccard.op10,
