@@ -3,12 +3,13 @@
 from __future__ import annotations
 
 import corpus_pipeline
-from tidemark.llm import bpe, decontaminate, jaccard, line_dedup, sharding
+from tidemark.llm import bpe, decontaminate, jaccard, line_dedup, pii, sharding
 
 QUERIES = {
     "op2_feistel_sharding": sharding.op2,
     "op3_fuzzy_line_dedup": line_dedup.op3,
     "op5_benchmark_decontamination": decontaminate.op5,
+    "op8_pii_pseudonyms": pii.op8,
     "op9_byte_bpe": bpe.op9,
     "op10_jaccard_join": jaccard.op10,
     "pipeline": corpus_pipeline.run,
