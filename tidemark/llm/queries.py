@@ -3,11 +3,12 @@
 from __future__ import annotations
 
 import corpus_pipeline
-from tidemark.llm import bpe, decontaminate, jaccard, line_dedup, pii, sharding
+from tidemark.llm import bpe, decontaminate, jaccard, line_dedup, pii, sharding, warc
 
 QUERIES = {
     "op2_feistel_sharding": sharding.op2,
     "op3_fuzzy_line_dedup": line_dedup.op3,
+    "op4_merkle_fixity": warc.op4,
     "op5_benchmark_decontamination": decontaminate.op5,
     "op8_pii_pseudonyms": pii.op8,
     "op9_byte_bpe": bpe.op9,
@@ -16,5 +17,6 @@ QUERIES = {
 }
 
 ORACLE_SQL = {
+    "op4_merkle_fixity": warc.OP4_SQL,
     "op5_benchmark_decontamination": decontaminate.OP5_SQL,
 }

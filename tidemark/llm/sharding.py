@@ -13,7 +13,7 @@ a column named like one of the added ones is refused.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tidemark.llm._shared import table
@@ -28,12 +28,15 @@ COPIES = 1000
 SHARDS, SEED = 40, 20240229
 
 
-def number_rows(rows: DataFrame, into: str = "row_number", total: str = "n_rows") -> DataFrame:
-    """``rows`` with a row number from 0 without gaps, and the number of rows."""
+def number_rows(rows: DataFrame, into: str = "row_number", total: str = "n_rows", bucket: Column | None = None) -> DataFrame:
+    """``rows`` with a row number from 0 without gaps, and the number of rows.
+
+    ``bucket`` is a number below BUCKETS that spreads the rows evenly, a hash of all columns by default.
+    """
     names = rows.columns
     if {into, total, "_copies", "_bucket", "_before", "_part"} & set(names):
         raise ValueError("a column has the name of one that this adds")
-    counted = rows.groupBy(*names).agg(F.count("*").alias("_copies")).withColumn("_bucket", F.pmod(F.xxhash64(*names), F.lit(BUCKETS)))
+    counted = rows.groupBy(*names).agg(F.count("*").alias("_copies")).withColumn("_bucket", F.pmod(F.xxhash64(*names), F.lit(BUCKETS)) if bucket is None else bucket)
     sums = counted.groupBy("_bucket").agg(F.sum("_copies").alias("_n"))
     upto = Window.orderBy("_bucket").rowsBetween(Window.unboundedPreceding, Window.currentRow)  # of BUCKETS rows at most
     all_rows = Window.orderBy(F.lit(0)).rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
