@@ -3,9 +3,10 @@
 from __future__ import annotations
 
 import corpus_pipeline
-from tidemark.llm import bpe, decontaminate, jaccard, line_dedup, pii, quality, sharding, toxicity, warc
+from tidemark.llm import ann, bpe, decontaminate, jaccard, line_dedup, pii, quality, sharding, toxicity, warc
 
 QUERIES = {
+    "op1_projection_forest": ann.op1,
     "op2_feistel_sharding": sharding.op2,
     "op3_fuzzy_line_dedup": line_dedup.op3,
     "op4_merkle_fixity": warc.op4,
