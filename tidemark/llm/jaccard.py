@@ -8,13 +8,17 @@ intersection is at least 85 times their union. Equal sets are one node from the
 * heavy sets go to inverted lists. A list's entry is not one shingle but a block of them: shingles are
   dealt to m blocks by hash, m exceeding the number d of shingles in which two linked sets of that
   size can differ, so at least one block that is not empty is equal in both. A passage that many
-  documents share changes no list, because the other shingles of its blocks differ;
+  documents share fills no list, because the other shingles of its blocks differ;
 * the boundary is the size at which the two ways cost least together, from the counts of small sets.
 
 Sets of different sizes meet because each set enters the lists of every size class in which it can
 have a partner. A set with too many empty blocks for the promise to hold enters a second dealing too,
-and after ``DEALINGS`` of them its prefix of least hashes; so no link is missed. Candidates are checked
-on the whole sets, one comparison per member of a list plus those that components leave open.
+and after ``DEALINGS`` of them its prefix of least hashes; so no link is missed.
+
+Each set is first compared with the least set it shares a list with. What that leaves unconnected is compared
+list by list, long lists in tiles, on parity sketches: the bits in which two sketches differ are at most
+the shingles in which the sets differ, so a pair that is out stays inside the task that looks at it. Only
+pairs that pass go on to the comparison of whole sets.
 
 Cases: a null or empty text, or one without words, has an empty set, links with nothing and is its own
 component; fewer words than a shingle count as one shingle; repeated rows share a set; a null doc_id is
@@ -35,7 +39,7 @@ from pyspark.sql import functions as F
 from tidemark.llm import words as W
 from tidemark.llm._shared import Scratch, batches_of, small_batches, table
 from tidemark.llm.bpe import fields
-from tidemark.llm.components import link_by_buckets
+from tidemark.llm.components import components
 
 SHINGLE, PART, WHOLE = 4, 85, 100
 #: A size class reaches from lo to STRETCH times lo.
@@ -44,7 +48,9 @@ DEALINGS = 4
 #: Sizes up to which the boundary may lie, and the cost of an inverted-list entry against a subset.
 MOST_LIGHT, ENTRY_COST = 32, 2.0
 #: Rows of a side that is broadcast; beyond that the join shuffles.
-MOST_BROADCAST = 500_000
+MOST_BROADCAST, MOST_LISTS = 500_000, 2_000_000
+#: Members of a list that are compared in one task with as many others.
+TILE = 4096
 U = np.uint64
 _ONE, _TWO = U(0x5851F42D4C957F2D), U(0x14057B7EF767814F)
 
@@ -153,6 +159,97 @@ def _by_set(texts: DataFrame, made, kind: str, shingle: int) -> DataFrame:
     return texts.mapInArrow(run, kind)
 
 
+def _small(side: DataFrame, most: int) -> DataFrame:
+    """A side of a join, broadcast if it has no more rows than ``most``."""
+    return F.broadcast(side) if side.count() <= most else side
+
+
+def _linked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The pairs whose whole sets link."""
+    for batch in batches:
+        keep = []
+        for x, y in zip(batch.column("x").to_pylist(), batch.column("y").to_pylist(), strict=True):
+            x, y = np.frombuffer(x, U), np.frombuffer(y, U)
+            both = len(np.intersect1d(x, y, assume_unique=True))
+            keep.append(WHOLE * both >= PART * (len(x) + len(y) - both))
+        yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
+
+
+def sketch(items: np.ndarray) -> np.ndarray:
+    """A parity sketch: bit h is set if an odd number of shingles hash to h. It has two to four bits a shingle, 256 at least."""
+    words = 1 << max(2, (2 * len(items) - 1).bit_length() - 6)
+    odd = np.bincount((W.mix(items ^ _TWO) & U(words * 64 - 1)).astype(np.int64), minlength=words * 64) & 1
+    return np.packbits(odd.astype(bool), bitorder="little").view(U)
+
+
+def fold(bits: np.ndarray, words: int) -> np.ndarray:
+    """The sketch of the same set with fewer bits."""
+    return np.bitwise_xor.reduce(bits.reshape(-1, words), axis=0)
+
+
+def _sketched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        sets = [np.frombuffer(x, U) for x in batch.column("items").to_pylist()]
+        yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(map(len, sets), pa.int64()), pa.array([sketch(x).tobytes() for x in sets], pa.binary())], names=["id", "n", "sketch"])
+
+
+def may_link(n: np.ndarray, m: np.ndarray, apart: np.ndarray) -> np.ndarray:
+    """Whether sets of n and m shingles that differ in at least ``apart`` can link."""
+    both = -(-PART * (n + m) // (PART + WHOLE))
+    return (WHOLE * np.minimum(n, m) >= PART * np.maximum(n, m)) & (apart <= n + m - 2 * both)
+
+
+def _passing(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The pairs whose sizes and sketches let them link."""
+    for batch in batches:
+        apart = []
+        for x, y in zip(batch.column("s_a").to_pylist(), batch.column("s_b").to_pylist(), strict=True):
+            x, y = np.frombuffer(x, U), np.frombuffer(y, U)
+            least = min(len(x), len(y))
+            apart.append(int(np.bitwise_count(fold(x, least) ^ fold(y, least)).sum()))
+        ok = may_link(np.asarray(batch.column("n_a")), np.asarray(batch.column("n_b")), np.array(apart, np.int64))
+        yield batch.select(["a", "b"]).filter(pa.array(ok, pa.bool_()))
+
+
+def _tiled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The pairs of a tile that are in different components and may link; rows come sorted by tile."""
+    held: list[pa.RecordBatch] = []
+
+    def work(rows: pa.Table) -> Iterator[pa.RecordBatch]:
+        key, i, j, p, ids, root, n = (np.asarray(rows.column(c)) for c in ("key", "i", "j", "p", "id", "root", "n"))
+        bits = [np.frombuffer(x, U) for x in rows.column("sketch").to_pylist()]
+        at = np.flatnonzero(np.r_[True, (np.diff(key) != 0) | (np.diff(i) != 0) | (np.diff(j) != 0), True])
+        a, b = [], []
+        for lo, hi in zip(at[:-1].tolist(), at[1:].tolist(), strict=True):
+            words = min(len(x) for x in bits[lo:hi])
+            m = np.stack([fold(x, words) for x in bits[lo:hi]])
+            here = slice(lo, hi)
+            step = max(1, (1 << 19) // (words * (hi - lo)))
+            for s in range(0, hi - lo, step):
+                e = slice(lo + s, min(hi, lo + s + step))
+                apart = np.bitwise_count(m[s : s + step, None, :] ^ m[None]).sum(2, dtype=np.int64)
+                ok = may_link(n[e][:, None], n[here][None], apart) & (root[e][:, None] != root[here][None]) & (ids[e][:, None] < ids[here][None])
+                if i[lo] != j[lo]:
+                    ok &= p[e][:, None] != p[here][None]
+                x, y = np.nonzero(ok)
+                a.append(ids[e][x])
+                b.append(ids[here][y])
+        if a:
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(a)), pa.array(np.concatenate(b))], names=["a", "b"])
+
+    for batch in batches:
+        key, i, j = (np.asarray(batch.column(c)) for c in ("key", "i", "j"))
+        ends = np.flatnonzero((np.diff(key) != 0) | (np.diff(i) != 0) | (np.diff(j) != 0))
+        if len(ends) and sum(x.num_rows for x in held) + batch.num_rows >= 2048:
+            cut = int(ends[-1]) + 1  # a tile that begins behind it may go on in the next batch
+            yield from work(pa.Table.from_batches([*held, batch.slice(0, cut)]))
+            held, batch = [], batch.slice(cut)
+        if batch.num_rows:
+            held.append(batch)
+    if held:
+        yield from work(pa.Table.from_batches(held))
+
+
 def classes_of(docs: DataFrame, key: str = "doc_id", text: str = "text", shingle: int = SHINGLE) -> DataFrame:
     """Rows (key, n_shingles, set_id, component_id): set_id is the same for equal sets, null for an empty one."""
     spark = docs.sparkSession
@@ -181,24 +278,33 @@ def classes_of(docs: DataFrame, key: str = "doc_id", text: str = "text", shingle
     def whole(new: list[tuple[int, np.ndarray]]) -> pa.RecordBatch:
         return pa.RecordBatch.from_arrays([pa.array([x for x, _ in new], pa.int64()), pa.array([items.tobytes() for _, items in new], pa.binary())], names=["id", "items"])
 
-    def linked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            keep = []
-            for x, y in zip(batch.column("x").to_pylist(), batch.column("y").to_pylist(), strict=True):
-                x, y = np.frombuffer(x, U), np.frombuffer(y, U)
-                both = len(np.intersect1d(x, y, assume_unique=True))
-                keep.append(WHOLE * both >= PART * (len(x) + len(y) - both))
-            yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
+    entries = _by_set(texts, buckets, "key long, id long", shingle)
+    lists = scratch.cut(entries.groupBy("key").agg(F.min("id").alias("a"), F.max("id").alias("z")).where("a < z").select("key", "a"))
+    shared = scratch.cut(entries.join(_small(lists, MOST_LISTS), "key").distinct())
+    first = scratch.cut(shared.groupBy("id").agg(F.min("a").alias("a")))
+    held = scratch.cut(_by_set(texts, whole, "id long, items binary", shingle).join(_small(first.select("id"), MOST_BROADCAST), "id", "left_semi").dropDuplicates(["id"]))
+    sketches = scratch.cut(held.mapInArrow(_sketched, "id long, n long, sketch binary"))
 
     def close(pairs: DataFrame) -> DataFrame:
-        ids = scratch.cut(pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct())
-        small = ids.count() <= MOST_BROADCAST
-        some = _by_set(texts, whole, "id long, items binary", shingle).join(F.broadcast(ids) if small else ids, "id", "left_semi")
-        held = scratch.cut(some.dropDuplicates(["id"]))
-        with_a = pairs.join(held.select(F.col("id").alias("a"), F.col("items").alias("x")), "a")
-        return with_a.join(held.select(F.col("id").alias("b"), F.col("items").alias("y")), "b").select("a", "b", "x", "y").mapInArrow(linked, "a long, b long")
-
-    _, found = link_by_buckets(_by_set(texts, buckets, "key long, id long", shingle), close, scratch)
+        ids = _small(scratch.cut(pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct()), MOST_BROADCAST)
+        need = held.join(ids, "id", "left_semi")
+        with_a = pairs.join(need.select(F.col("id").alias("a"), F.col("items").alias("x")), "a")
+        return with_a.join(need.select(F.col("id").alias("b"), F.col("items").alias("y")), "b").select("a", "b", "x", "y").mapInArrow(_linked, "a long, b long")
+
+    star = first.where("a < id").select("a", F.col("id").alias("b"))
+    for end in ("a", "b"):
+        star = star.join(sketches.select(F.col("id").alias(end), F.col("n").alias(f"n_{end}"), F.col("sketch").alias(f"s_{end}")), end)
+    links = scratch.cut(close(scratch.cut(star.mapInArrow(_passing, "a long, b long"))))
+    found = components(links, scratch)
+    told = shared.select("key", "id").join(found.withColumnRenamed("node", "id"), "id", "left").withColumn("root", F.coalesce("root", "id"))
+    mixed = told.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.ceil(F.count("*") / TILE).cast("int").alias("parts")).where("lo < hi").select("key", "parts")
+    open_ = told.join(mixed, "key").withColumn("p", F.pmod(F.xxhash64("id"), F.col("parts")).cast("int"))
+    tiles = open_.withColumn("o", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).select("key", F.least("p", "o").alias("i"), F.greatest("p", "o").alias("j"), "p", "id", "root")
+    rows = tiles.join(sketches, "id").repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
+    rest = scratch.cut(rows.mapInArrow(_tiled, "a long, b long").distinct())
+    if not rest.isEmpty():
+        links = scratch.cut(links.union(close(rest)))
+        found = components(links, scratch)
     told = sets.join(found.withColumnRenamed("node", "set_id"), "set_id", "left").withColumn("root", F.coalesce("root", "set_id"))
     least = told.groupBy("root").agg(F.min("least").alias("component_id"))
     by_set = told.join(least, "root").select("set_id", "component_id")
