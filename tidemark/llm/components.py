@@ -1,15 +1,13 @@
-"""Connected components and bucketed linking as DataFrame operations.
+"""Connected components as DataFrame operations.
 
-Nothing of a component, a link list or a bucket is ever collected to the driver or held in
+Nothing of a component or a list of links is ever collected to the driver or held in
 one task: every step is an equi-join or an aggregation with a map-side part, so Spark can
 split hot keys (adaptive skew joins) and combine hot groups before they are shuffled.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.llm._shared import Scratch
@@ -38,43 +36,3 @@ def components(edges: DataFrame, scratch: Scratch, most_rounds: int = 60) -> Dat
             return tree.select(F.col("v").alias("node"), F.col("p").alias("root"))
     raise RuntimeError(f"components did not settle in {most_rounds} rounds")
 
-
-def link_by_buckets(buckets: DataFrame, close: Callable[[DataFrame], DataFrame], scratch: Scratch, likely: Callable[[str, str], Column] | None = None, marks: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
-    """Links and components of items that share buckets.
-
-    ``buckets`` has (key, id); items are compared only within a bucket. ``close`` takes pairs (a, b)
-    and returns those that really link. ``likely`` is a cheap necessary condition over the columns that
-    ``marks`` has beside an id, named with the two suffixes it gets. First each bucket's smallest id is
-    compared with the others; pairs that this has connected need no further look. Then members of a
-    bucket that are still in different components are compared with each other, so no component is
-    missed, and a bucket of true copies costs one comparison per member instead of all pairs.
-    """
-
-    def marked(pairs: DataFrame) -> DataFrame:
-        if likely is None:
-            return pairs
-        for end in ("a", "b"):
-            pairs = pairs.join(marks.select(F.col("id").alias(end), *[F.col(c).alias(f"{c}_{end}") for c in marks.columns if c != "id"]), end)
-        return pairs.where(likely("_a", "_b")).select("a", "b")
-
-    tops = buckets.groupBy("key").agg(F.min("id").alias("a"), F.max("id").alias("z")).where("a < z").select("key", "a")
-    shared = scratch.cut(buckets.join(tops, "key").distinct())
-    star = scratch.cut(shared.where("id <> a").select("a", F.col("id").alias("b")).distinct())
-    links = scratch.cut(close(marked(star)))
-    found = components(links, scratch)
-    told = shared.join(found.withColumnRenamed("node", "id"), "id", "left").withColumn("root", F.coalesce("root", "id"))
-    mixed = told.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo < hi").select("key")
-    left = told.where("id <> a").join(mixed, "key")
-    if likely is not None:
-        left = left.join(marks, "id")
-    left = scratch.cut(left)
-    other = left.select("key", *[F.col(c).alias(f"{c}_a") for c in left.columns if c not in ("key", "a")])
-    apart = (F.col("id_a") < F.col("id")) & (F.col("root_a") != F.col("root"))
-    if likely is not None:
-        apart &= likely("", "_a")
-    rest = left.join(other, "key").where(apart).select(F.col("id_a").alias("a"), F.col("id").alias("b")).distinct()
-    rest = scratch.cut(rest.join(star, ["a", "b"], "left_anti"))
-    if rest.isEmpty():
-        return links, found
-    more = scratch.cut(close(rest))
-    return links.union(more), components(links.union(more), scratch)
