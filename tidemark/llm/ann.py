@@ -3,8 +3,8 @@
 Each tree turns the space by a random rotation and halves it at the median of one rotated axis a level; the
 medians come from a bounded sample, every row is put into a leaf of every tree. A query walks all trees
 through one priority queue, ordered by how far it lies beyond the thresholds on the way, and visits the
-nearest ``VISIT`` of all leaves. Within a leaf it is compared with all rows, in blocks, and only the best
-few go on; so candidate pairs are never written out. Distances are exact, in double precision.
+nearest ``VISIT`` of all leaves. It is compared with all rows of those leaves, in blocks of
+rows, and only the best few of a block go on; so candidate pairs are never written out. Distances are exact, in double precision.
 
 ``VISIT`` is a share: vectors without any structure need a tenth or more of the leaves of eight trees for a recall of
 0.95 and more, whatever their number (see the tests, which measure it against brute force).
@@ -30,8 +30,8 @@ from tidemark.llm._shared import Scratch, small_batches, table
 TREES, LEAF, VISIT, SEED = 8, 200, 0.15, 20240229
 #: Rows that thresholds are fitted on, and the fewest of them in a leaf.
 MOST_FIT, LEAST_FIT = 32_768, 8
-#: Rows and queries that are compared at once.
-BLOCK_ROWS, BLOCK_QUERIES = 4096, 1024
+#: Rows and queries that are compared in one task at once; a query sends on its best of a block, not of each leaf.
+BLOCK_ROWS, BLOCK_QUERIES = 16_384, 256
 K, EVERY = 10, 100
 
 
@@ -88,17 +88,27 @@ def _matrix(column: pa.Array, dimension: int) -> np.ndarray:
     return np.asarray(column.flatten(), dtype=np.float64).reshape(-1, dimension)
 
 
-def nearest_in(ids: np.ndarray, x: np.ndarray, q: np.ndarray, k: int) -> list[tuple[np.ndarray, np.ndarray]]:
-    """For each query the ids and exact distances of its k nearest rows, ties to smaller ids."""
-    rough = (x * x).sum(1)[None] - 2 * q @ x.T + (q * q).sum(1)[:, None]
+def nearest_in(ids: np.ndarray, leaf: np.ndarray, x: np.ndarray, q: np.ndarray, visits: list[np.ndarray], k: int) -> list[tuple[np.ndarray, np.ndarray]]:
+    """For each query the ids and exact distances of its k nearest rows in the leaves it visits, ties to smaller ids."""
+    order = np.argsort(leaf, kind="stable")
+    ids, leaf, x = ids[order], leaf[order], x[order]
+    names, start = np.unique(leaf, return_index=True)
+    bounds = dict(zip(names.tolist(), zip(start.tolist(), np.r_[start[1:], len(leaf)].tolist(), strict=True), strict=True))
+    asked: dict[int, list[int]] = {}
+    for i, some in enumerate(visits):
+        for at in some.tolist():
+            if at in bounds:
+                asked.setdefault(at, []).append(i)
+    size, rough = (x * x).sum(1), np.full((len(q), len(ids)), np.inf)
+    for at, who in asked.items():
+        a, b = bounds[at]
+        rough[who, a:b] = size[a:b] - 2 * q[who] @ x[a:b].T
     out = []
-    for i in range(len(q)):
-        near = rough[i]
-        if len(ids) > k:
-            bound = np.partition(near, k - 1)[k - 1]
-            some = np.flatnonzero(near <= bound + 1e-9 * (1 + abs(bound) + (q[i] * q[i]).sum()))
-        else:
-            some = np.arange(len(ids))
+    for i, near in enumerate(rough):
+        some = np.flatnonzero(near < np.inf)
+        if len(some) > k:
+            bound = np.partition(near[some], k - 1)[k - 1]
+            some = some[near[some] <= bound + 1e-9 * (1 + abs(bound) + (q[i] * q[i]).sum())]
         exact = np.sqrt(((x[some] - q[i]) ** 2).sum(1))
         best = np.lexsort((ids[some], exact))[:k]
         out.append((ids[some][best], exact[best]))
@@ -129,32 +139,35 @@ def neighbours(vectors: DataFrame, queries, k: int = K, key: str = "vec_id", vec
                 yield pa.RecordBatch.from_arrays([pa.array(np.full(b.num_rows, t, np.int32)), pa.array(leaf[t]), b.column("id"), b.column("v")], names=["tree", "leaf", "id", "v"])
 
     def visits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        trees = len(held.value.axes)
         for b in batches:
-            found = [(i, *at) for i, q in enumerate(_matrix(b.column("v"), dimension)) for at in held.value.search(q, visit)]
-            at = np.array(found, np.int64).reshape(-1, 3)
-            yield pa.RecordBatch.from_arrays([pa.array(at[:, 1].astype(np.int32)), pa.array(at[:, 2]), b.column("id").take(pa.array(at[:, 0])), b.column("v").take(pa.array(at[:, 0]))], names=["tree", "leaf", "id", "v"])
-
-    kind = "tree int, leaf long, id long, v array<double>"
-    index = scratch.cut(firsts.select("id", "v").mapInArrow(place, kind))
-    wanted = scratch.cut(alike.select("id", "v").mapInArrow(visits, kind))
-    parts = lambda f, n, name: f.groupBy("tree", "leaf").agg(F.ceil(F.count("*") / n).cast("int").alias(name))
-    cells = parts(index, BLOCK_ROWS, "n_rows").join(parts(wanted, BLOCK_QUERIES, "n_queries"), ["tree", "leaf"])  # one row a leaf: bounded as the forest
-    cells = scratch.cut(cells)
-    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
-    left = index.join(F.broadcast(cells), ["tree", "leaf"]).withColumn("a", F.pmod(F.xxhash64("id"), F.col("n_rows")).cast("int")).withColumn("b", every("n_queries"))
-    right = wanted.join(F.broadcast(cells), ["tree", "leaf"]).withColumn("b", F.pmod(F.xxhash64("id"), F.col("n_queries")).cast("int")).withColumn("a", every("n_rows"))
-    block = ["tree", "leaf", "a", "b"]
+            leaves = []
+            for q in _matrix(b.column("v"), dimension):
+                by_tree: list[list[int]] = [[] for _ in range(trees)]
+                for t, leaf in held.value.search(q, visit):
+                    by_tree[t].append(leaf)
+                leaves.append(by_tree)
+            for t in range(trees):
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(b.num_rows, t, np.int32)), b.column("id"), b.column("v"), pa.array([x[t] for x in leaves], pa.list_(pa.int64()))], names=["tree", "id", "v", "leaves"])
+
+    index = scratch.cut(firsts.select("id", "v").mapInArrow(place, "tree int, leaf long, id long, v array<double>"))
+    wanted = scratch.cut(alike.select("id", "v").mapInArrow(visits, "tree int, id long, v array<double>, leaves array<long>"))
+    n_rows, n_queries = (max(1, -(-f.where("tree = 0").count() // n)) for f, n in ((index, BLOCK_ROWS), (wanted, BLOCK_QUERIES)))
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    left = index.withColumn("a", F.pmod(F.xxhash64("id"), F.lit(n_rows)).cast("int")).withColumn("b", every(n_queries))
+    right = wanted.where(F.size("leaves") > 0).withColumn("b", F.pmod(F.xxhash64("id"), F.lit(n_queries)).cast("int")).withColumn("a", every(n_rows))
+    block = ["tree", "a", "b"]
 
     def compare(mine: pa.Table, theirs: pa.Table) -> pa.Table:
         if not mine.num_rows or not theirs.num_rows:
             return pa.table({"query": pa.array([], pa.int64()), "id": pa.array([], pa.int64()), "score": pa.array([], pa.float64())})
         x, q = (_matrix(t.column("v").combine_chunks(), dimension) for t in (mine, theirs))
-        ids, names = (np.asarray(t.column("id")) for t in (mine, theirs))
-        got = nearest_in(ids, x, q, k + 1)
+        names = np.asarray(theirs.column("id"))
+        got = nearest_in(np.asarray(mine.column("id")), np.asarray(mine.column("leaf")), x, q, [np.array(v) for v in theirs.column("leaves").to_pylist()], k + 1)
         return pa.table({"query": pa.array(np.repeat(names, [len(i) for i, _ in got])), "id": pa.array(np.concatenate([i for i, _ in got])), "score": pa.array(np.concatenate([s for _, s in got]))})
 
-    columns = [*block, "id", "v"]
-    met = left.select(*columns).groupBy(*block).cogroup(right.select(*columns).groupBy(*block)).applyInArrow(compare, "query long, id long, score double")
+    pairs = left.select(*block, "leaf", "id", "v").groupBy(*block).cogroup(right.select(*block, "id", "v", "leaves").groupBy(*block))
+    met = pairs.applyInArrow(compare, "query long, id long, score double")
     best = met.groupBy("query", "id").agg(F.min("score").alias("score"))
     order = Window.partitionBy("query").orderBy("score", "id")
     top = best.withColumn("n", F.row_number().over(order)).where(F.col("n") <= k + 1).drop("n")
