@@ -136,7 +136,7 @@ def _by_join(docs: DataFrame, items: DataFrame, text: str, length: int) -> DataF
 
     def unroll(column: str, keep: list[str], lengths: list[int] | None):
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for rows, texts in batches_of(batches, column, 1 << 18):
+            for rows, texts in batches_of(batches, column, 1 << 16):
                 joined, starts, ends, hashes, first = W.words(texts, W.ALNUM)
                 for d, (a, b) in enumerate(zip(first.tolist(), first[1:].tolist(), strict=False)):
                     for n in [min(length, b - a)] if lengths is None else [x for x in lengths if x <= b - a]:

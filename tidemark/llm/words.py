@@ -15,7 +15,7 @@ U = np.uint64
 _BASE = U(0x9E3779B97F4A7C55 | 1)
 _STEP = U(0xD6E8FEB86659FD93)
 #: Bytes of one text that are hashed together.
-PART = 1 << 20
+PART = 1 << 18
 
 
 def inverse(odd: np.uint64) -> np.uint64:
