@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import hashlib
 import json
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 from pathlib import Path
 from typing import Protocol
 
@@ -176,22 +176,23 @@ def forecasts(contexts: DataFrame, backend: Backend, horizon: int = HORIZON, con
     """``contexts`` with the sum of median forecasts; null with too short a context or where the backend fails."""
     ready = contexts.withColumn("_clipped", F.expr(f"case when size({context}) >= {LEAST_CONTEXT} then {winsorised(context)} end"))
 
-    @F.pandas_udf("double")
-    def run(values: pd.Series) -> pd.Series:
-        def one(v):
-            if v is None or len(v) == 0:
-                return None
-            try:
-                out = np.sort(np.asarray(backend.forecast(np.asarray(v, float), horizon)), axis=1)
-            except Exception:  # noqa: BLE001  a backend's failure is a missing forecast
-                return None
-            if out.shape != (horizon, len(LEVELS)):
-                return None
-            return float(out[:, len(LEVELS) // 2].sum())
-
-        return values.map(one)
-
-    return ready.withColumn(into, run("_clipped")).drop("_clipped")
+    names = contexts.columns
+
+    def one(v) -> float | None:
+        if v is None or len(v) == 0:
+            return None
+        try:
+            out = np.sort(np.asarray(backend.forecast(np.asarray(v, float), horizon)), axis=1)
+        except Exception:  # noqa: BLE001  a backend's failure is a missing forecast
+            return None
+        return float(out[:, len(LEVELS) // 2].sum()) if out.shape == (horizon, len(LEVELS)) else None
+
+    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for part in parts:
+            yield part[names].assign(**{into: [one(v) for v in part["_clipped"]]}).astype({into: "float64"})
+
+    kind = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in contexts.schema)
+    return ready.mapInPandas(run, f"{kind}, `{into}` double").withColumn(into, F.when(~F.isnan(into), F.col(into)))
 
 
 class Tabular:
