@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 
 from tidemark.llm._shared import held_out, learn_from, table
 
-MOST_FIT = 20_000
+MOST_FIT = 8_000
 TREES, DEPTH, BINS, RATE, LEAST_LEAF = 40, 3, 32, 0.3, 10
 #: Weight of the lasso penalty, and steps of the solver.
 LASSO, STEPS = 5e-4, 600
