@@ -16,7 +16,7 @@ have a partner. A set with too many empty blocks for the promise to hold enters
 and after ``DEALINGS`` of them its prefix of least hashes; so no link is missed.
 
 Each set is first compared with the least set it shares a list with. What that leaves unconnected is compared
-list by list, long lists in tiles, on parity sketches: the bits in which two sketches differ are at most
+list by list, long lists in tiles, on parity sketches, at first with the nearest set of another component only: the bits in which two sketches differ are at most
 the shingles in which the sets differ, so a pair that is out stays inside the task that looks at it. Only
 pairs that pass go on to the comparison of whole sets.
 
@@ -51,6 +51,8 @@ MOST_LIGHT, ENTRY_COST = 32, 2.0
 MOST_BROADCAST, MOST_LISTS = 500_000, 2_000_000
 #: Members of a list that are compared in one task with as many others.
 TILE = 4096
+#: Rounds in which an open set tries its nearest other component before all pairs are tried.
+NEAREST = 3
 U = np.uint64
 _ONE, _TWO = U(0x5851F42D4C957F2D), U(0x14057B7EF767814F)
 
@@ -211,8 +213,11 @@ def _passing(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield batch.select(["a", "b"]).filter(pa.array(ok, pa.bool_()))
 
 
-def _tiled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The pairs of a tile that are in different components and may link; rows come sorted by tile."""
+def _tiled(batches: Iterator[pa.RecordBatch], nearest: bool) -> Iterator[pa.RecordBatch]:
+    """The pairs of a tile that are in different components and may link; rows come sorted by tile.
+
+    ``nearest``: of each member only the pair whose sketches differ least.
+    """
     held: list[pa.RecordBatch] = []
 
     def work(rows: pa.Table) -> Iterator[pa.RecordBatch]:
@@ -228,12 +233,16 @@ def _tiled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for s in range(0, hi - lo, step):
                 e = slice(lo + s, min(hi, lo + s + step))
                 apart = np.bitwise_count(m[s : s + step, None, :] ^ m[None]).sum(2, dtype=np.int64)
-                ok = may_link(n[e][:, None], n[here][None], apart) & (root[e][:, None] != root[here][None]) & (ids[e][:, None] < ids[here][None])
+                ok = may_link(n[e][:, None], n[here][None], apart) & (root[e][:, None] != root[here][None])
                 if i[lo] != j[lo]:
                     ok &= p[e][:, None] != p[here][None]
-                x, y = np.nonzero(ok)
-                a.append(ids[e][x])
-                b.append(ids[here][y])
+                if nearest:
+                    x = np.flatnonzero(ok.any(1))
+                    y = np.where(ok, apart, np.iinfo(np.int64).max)[x].argmin(1)
+                else:
+                    x, y = np.nonzero(ok & (ids[e][:, None] < ids[here][None]))
+                a.append(np.minimum(ids[e][x], ids[here][y]))
+                b.append(np.maximum(ids[e][x], ids[here][y]))
         if a:
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(a)), pa.array(np.concatenate(b))], names=["a", "b"])
 
@@ -291,20 +300,27 @@ def classes_of(docs: DataFrame, key: str = "doc_id", text: str = "text", shingle
         with_a = pairs.join(need.select(F.col("id").alias("a"), F.col("items").alias("x")), "a")
         return with_a.join(need.select(F.col("id").alias("b"), F.col("items").alias("y")), "b").select("a", "b", "x", "y").mapInArrow(_linked, "a long, b long")
 
-    star = first.where("a < id").select("a", F.col("id").alias("b"))
+    star = scratch.cut(first.where("a < id").select("a", F.col("id").alias("b")))
+    sized = star
     for end in ("a", "b"):
-        star = star.join(sketches.select(F.col("id").alias(end), F.col("n").alias(f"n_{end}"), F.col("sketch").alias(f"s_{end}")), end)
-    links = scratch.cut(close(scratch.cut(star.mapInArrow(_passing, "a long, b long"))))
+        sized = sized.join(sketches.select(F.col("id").alias(end), F.col("n").alias(f"n_{end}"), F.col("sketch").alias(f"s_{end}")), end)
+    links = scratch.cut(close(scratch.cut(sized.mapInArrow(_passing, "a long, b long"))))
     found = components(links, scratch)
-    told = shared.select("key", "id").join(found.withColumnRenamed("node", "id"), "id", "left").withColumn("root", F.coalesce("root", "id"))
-    mixed = told.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.ceil(F.count("*") / TILE).cast("int").alias("parts")).where("lo < hi").select("key", "parts")
-    open_ = told.join(mixed, "key").withColumn("p", F.pmod(F.xxhash64("id"), F.col("parts")).cast("int"))
-    tiles = open_.withColumn("o", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).select("key", F.least("p", "o").alias("i"), F.greatest("p", "o").alias("j"), "p", "id", "root")
-    rows = tiles.join(sketches, "id").repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
-    rest = scratch.cut(rows.mapInArrow(_tiled, "a long, b long").distinct())
-    if not rest.isEmpty():
-        links = scratch.cut(links.union(close(rest)))
-        found = components(links, scratch)
+    tried = star.select("a", "b")
+    for nearest in (*[True] * NEAREST, False):
+        told = shared.select("key", "id").join(found.withColumnRenamed("node", "id"), "id", "left").withColumn("root", F.coalesce("root", "id"))
+        mixed = told.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.ceil(F.count("*") / TILE).cast("int").alias("parts")).where("lo < hi").select("key", "parts")
+        open_ = told.join(mixed, "key").withColumn("p", F.pmod(F.xxhash64("id"), F.col("parts")).cast("int"))
+        tiles = open_.withColumn("o", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).select("key", F.least("p", "o").alias("i"), F.greatest("p", "o").alias("j"), "p", "id", "root")
+        rows = tiles.join(sketches, "id").repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
+        found_pairs = scratch.cut(rows.mapInArrow(lambda b, nearest=nearest: _tiled(b, nearest), "a long, b long").distinct())
+        if found_pairs.isEmpty():
+            break  # no pair that may link is open
+        rest = scratch.cut(found_pairs.join(tried, ["a", "b"], "left_anti"))
+        if not rest.isEmpty():
+            tried = scratch.cut(tried.union(rest))
+            links = scratch.cut(links.union(close(rest)))
+            found = components(links, scratch)
     told = sets.join(found.withColumnRenamed("node", "set_id"), "set_id", "left").withColumn("root", F.coalesce("root", "set_id"))
     least = told.groupBy("root").agg(F.min("least").alias("component_id"))
     by_set = told.join(least, "root").select("set_id", "component_id")
