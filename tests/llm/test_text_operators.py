@@ -127,7 +127,7 @@ def test_tokens_are_those_of_the_library(spark, codec):
 
 
 def norm(line):
-    return re.sub(r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+", " ", line.lower()).strip()
+    return " ".join(re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", line.lower()))
 
 
 def edit(a, b):

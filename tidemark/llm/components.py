@@ -13,6 +13,10 @@ from pyspark.sql import functions as F
 from tidemark.llm._shared import Scratch
 
 
+#: Links up to which a round's tables are broadcast and kept in few files; beyond that all joins shuffle.
+MOST_SMALL = 500_000
+
+
 def components(edges: DataFrame, scratch: Scratch, most_rounds: int = 60) -> DataFrame:
     """(node, root) for every node of ``edges`` (a, b): root is the component's smallest node.
 
@@ -21,18 +25,21 @@ def components(edges: DataFrame, scratch: Scratch, most_rounds: int = 60) -> Dat
     null ends are ignored; no edges give no rows.
     """
     one = edges.select(F.col("a").cast("long"), F.col("b").cast("long")).where("a <> b")
-    both = scratch.cut(one.union(one.select(F.col("b"), F.col("a"))).distinct())
-    tree = scratch.cut(both.groupBy(F.col("a").alias("v")).agg(F.min("b").alias("m")).select("v", F.least("v", "m").alias("p")))
+    small = one.count() <= MOST_SMALL
+    side = F.broadcast if small else lambda x: x
+    few = (lambda x: x.coalesce(4)) if small else lambda x: x
+    both = scratch.cut(few(one.union(one.select(F.col("b"), F.col("a"))).distinct()))
+    tree = scratch.cut(few(both.groupBy(F.col("a").alias("v")).agg(F.min("b").alias("m")).select("v", F.least("v", "m").alias("p"))))
     for _ in range(most_rounds):
-        up = tree.join(tree.select(F.col("v").alias("p"), F.col("p").alias("g")), "p")
-        near = both.join(up.select(F.col("v").alias("b"), "g"), "b").groupBy(F.col("a").alias("v")).agg(F.min("g").alias("m"))
-        step = up.join(near, "v", "left").select("v", "p", F.least("g", F.coalesce("m", "g")).alias("n"))
-        least = step.select("v", "n").union(step.select("p", "n")).groupBy("v").agg(F.min("n").alias("n"))
-        new = scratch.cut(tree.join(least, "v").select("v", F.least("n", "p").alias("p"), (F.col("n") < F.col("p")).alias("moved")))
+        up = tree.join(side(tree.select(F.col("v").alias("p"), F.col("p").alias("g"))), "p")
+        # What each node and each parent hears of: neighbours' grandparents, and its own.
+        heard = both.join(side(up.select(F.col("v").alias("b"), "g")), "b").join(side(tree.select(F.col("v").alias("a"), "p")), "a")
+        told = heard.select(F.explode(F.array("a", "p")).alias("v"), "g").union(up.select("v", "g"))
+        least = told.groupBy("v").agg(F.min("g").alias("n"))
+        new = scratch.cut(few(tree.join(side(least), "v").select("v", F.least("n", "p").alias("p"), (F.col("n") < F.col("p")).alias("moved"))))
         scratch.drop(tree)
         tree = new
         if new.where("moved").isEmpty():
             scratch.drop(both)
             return tree.select(F.col("v").alias("node"), F.col("p").alias("root"))
     raise RuntimeError(f"components did not settle in {most_rounds} rounds")
-
