@@ -316,6 +316,9 @@ def classes_of(docs: DataFrame, key: str = "doc_id", text: str = "text", shingle
         found_pairs = scratch.cut(rows.mapInArrow(lambda b, nearest=nearest: _tiled(b, nearest), "a long, b long").distinct())
         if found_pairs.isEmpty():
             break  # no pair that may link is open
+        # A set that may link with no other is done with.
+        open_ids = scratch.cut(found_pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct())
+        shared = scratch.cut(shared.join(_small(open_ids, MOST_BROADCAST), "id", "left_semi"))
         rest = scratch.cut(found_pairs.join(tried, ["a", "b"], "left_anti"))
         if not rest.isEmpty():
             tried = scratch.cut(tried.union(rest))
