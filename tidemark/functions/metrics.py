@@ -179,6 +179,7 @@ def two_sample_ks(one: DataFrame, other: DataFrame, value: str = "prediction") -
     best = gaps.agg(F.max(F.abs(F.col("x") - F.col("y"))).alias("statistic"), F.max("n").alias("n"), F.max("m").alias("m"))
     root = F.sqrt(F.expr("try_divide(n * m, n + m)"))
     z = (root + 0.12 + F.when(root > 0, 0.11 / F.when(root > 0, root))) * F.col("statistic")
-    p = sum((2.0 * (-1) ** (k - 1)) * F.exp(-2.0 * k * k * z * z) for k in range(1, 101))
+    p = F.expr("aggregate(sequence(1, 100), 0D, (s, k) -> s + 2 * power(-1D, k - 1) * exp(-2D * k * k * _z * _z))")
     # Below that the series has not settled and the value is 1 to many digits.
-    return best.withColumn("p_value", F.when(z < 0.2, 1.0).otherwise(F.greatest(F.lit(0.0), F.least(F.lit(1.0), p))))
+    bound = F.when(F.col("_z") < 0.2, 1.0).otherwise(F.greatest(F.lit(0.0), F.least(F.lit(1.0), p)))
+    return best.withColumn("_z", z).withColumn("p_value", bound).drop("_z")

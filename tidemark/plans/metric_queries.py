@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from tidemark.functions import metrics, models
 from tidemark.operators import backtest, grids, pit, runs
-from tidemark.plans.pit_queries import FIRST, estimates, year_grid
+from tidemark.plans.pit_queries import _EST_OK, FIRST, estimates, year_grid
 from tidemark.plans.views import Views, sql
 
 BY = ["model"]
@@ -86,6 +86,7 @@ QUERIES = {
     "pl2_output_checks": checks,
     "mdl11_forecast_context": lambda v: backtest.contexts(year_grid(v), v.income()).select(*pit.GRID, F.size("context").cast("long").alias("n"), F.expr("get(context, 0)").alias("first"), F.expr("get(context, size(context) - 1)").alias("last")),
     "mdl5_forecasts": lambda v: models.forecasts(backtest.contexts(year_grid(v), v.income()), models.LastValue()).select(*pit.GRID, "forecast"),
+    "bt4_backtest": lambda v: _round(backtest.run(v.spark, backtest.Config(metric="ebit", start_year=1998, end_year=1998, grid="fiscal_year_end", rounds=2, features=("revenue_ttm", "ebit_margin")), v.tables(), models.LastValue()).scoreboard(by_bucket=True)),
     "met1_mape_by_horizon": lambda v: _round(metrics.mape(v.forecasts().withColumn("bucket", metrics.horizon_bucket()), ["model", "bucket"])),
 }
 
@@ -132,6 +133,7 @@ _CAND = {
     "folds": _FOLDS,
     "roles": "SELECT *, 'train' AS role FROM cand, folds WHERE target_accepted_date < cutoff UNION ALL SELECT *, 'test' AS role FROM cand, folds WHERE as_of_date >= cutoff AND as_of_date < window_end AND NOT is_seed",
 }
+_EPS = "SELECT g.security_id, g.as_of_date, period, end_date, arg_max(eps_diluted, accepted_date) AS eps_diluted FROM (SELECT DISTINCT * FROM grid) g JOIN inc t ON t.security_id = g.security_id AND t.accepted_date <= g.as_of_date GROUP BY g.security_id, g.as_of_date, fiscal_year, period, end_date"
 _SCORES = "SELECT model, bucket, {m} FROM {t} GROUP BY ALL"
 _TALL = f"SELECT * FROM (SELECT 'RandomWalk' AS model, {_BUCKET} AS bucket, actual, naive, naive AS prediction FROM fc UNION ALL SELECT 'Forecast', {_BUCKET}, actual, naive, prediction FROM fc)"
 _KS = "SELECT v, sum(a) AS a, sum(b) AS b FROM (SELECT prediction AS v, 1 AS a, 0 AS b FROM fc WHERE model = 'A' UNION ALL SELECT prediction, 0, 1 FROM fc WHERE model = 'R') WHERE v IS NOT NULL GROUP BY v"
@@ -154,6 +156,9 @@ SQL = {
     "met13_calibration": sql(" UNION ALL ".join(f"SELECT model, {t}e0 AS level, round(avg(CASE WHEN actual <= q[{i + 1}] THEN 1e0 ELSE 0e0 END), 6) AS observed FROM qs GROUP BY model" for i, t in enumerate(LEVELS)), "fc", qs=_Q),
     "met14_scoreboard": sql(f"SELECT model, bucket, round(mape, 6) AS mape, round(median_ape, 6) AS median_ape, round(w10, 6) AS accuracy_within_10pct, round(w25, 6) AS accuracy_within_25pct, round(da, 6) AS directional_accuracy, round(da, 6) AS beat_miss_accuracy, round(coverage, 6) AS coverage, round(correlation, 6) AS correlation FROM ({_SCORES.format(m=f'avg({_APE}) AS mape, median({_APE}) AS median_ape, avg(CASE WHEN {_APE} <= 0.1e0 THEN 1e0 ELSE 0e0 END) AS w10, avg(CASE WHEN {_APE} <= 0.25e0 THEN 1e0 ELSE 0e0 END) AS w25', t='mk')}) JOIN ({_SCORES.format(m=_da('naive') + ' AS da, count(prediction) / CAST(count(*) AS DOUBLE) AS coverage', t='tall')}) USING (model, bucket) JOIN ({_SCORES.format(m=_CORR.format(x='actual', y='prediction') + ' AS correlation', t='(SELECT * FROM tall WHERE prediction IS NOT NULL)')}) USING (model, bucket)", "fc", tall=_TALL, mk=_M.format(by="model, bucket", t="tall")),
     "met15_horizon_buckets": sql(f"SELECT {_BUCKET} AS bucket, count(*) AS n, min(horizon_days) AS least, max(horizon_days) AS most FROM fc GROUP BY ALL", "fc"),
+    "met16_two_sample_ks": sql("SELECT round(statistic, 6) AS statistic, CAST(n AS BIGINT) AS n, CAST(m AS BIGINT) AS m, round(CASE WHEN z < 0.2 THEN 1e0 ELSE greatest(0e0, least(1e0, list_sum(list_transform(range(1, 101), lambda k: 2e0 * power(-1e0, k - 1) * exp(-2e0 * k * k * z * z))))) END, 6) AS p_value FROM (SELECT *, (sqrt(n * m / CAST(n + m AS DOUBLE)) + 0.12e0 + 0.11e0 / sqrt(n * m / CAST(n + m AS DOUBLE))) * statistic AS z FROM (SELECT max(abs(x - y)) AS statistic, max(n) AS n, max(m) AS m FROM (SELECT sum(a) OVER w / CAST(sum(a) OVER () AS DOUBLE) AS x, sum(b) OVER w / CAST(sum(b) OVER () AS DOUBLE) AS y, sum(a) OVER () AS n, sum(b) OVER () AS m FROM ks WINDOW w AS (ORDER BY v))))", "fc", ks=_KS),
+    "mdl5_forecasts": sql("SELECT security_id, as_of_date, CASE WHEN n >= 12 THEN 4 * CASE WHEN mad = 0 THEN last ELSE greatest(med - 5e0 * 1.4826e0 * mad, least(med + 5e0 * 1.4826e0 * mad, last)) END END AS forecast FROM (SELECT security_id, as_of_date, count(*) AS n, any_value(med) AS med, median(abs(eps_diluted - med)) AS mad, arg_max(eps_diluted, ROW(end_date, period)) AS last FROM (SELECT *, median(eps_diluted) OVER (PARTITION BY security_id, as_of_date) AS med FROM st WHERE period LIKE 'Q%' AND eps_diluted IS NOT NULL) GROUP BY ALL)", "inc", "grid", st=_EPS),
+    "bt7_consensus_snapshot": sql("SELECT security_id, as_of_date, consensus FROM (SELECT security_id, DATE '2024-01-20' AS as_of_date FROM sec) JOIN e USING (security_id) WHERE pulled_at <= as_of_date + INTERVAL '23:59:59' AND metric = 'eps' AND target_date >= as_of_date QUALIFY row_number() OVER (PARTITION BY security_id ORDER BY target_date, pulled_at DESC) = 1", "sec", "est0", e=_EST_OK),
     "met17_lag_pairs": sql(f"SELECT symbol, round({_CORR.format(x='value', y='lagged')}, 6) AS correlation, count(*) AS n, round(avg((value - lagged) / nullif(abs(lagged), 0)), 6) AS growth FROM (SELECT symbol, value, lag(value) OVER (PARTITION BY symbol ORDER BY fiscal_year) AS lagged FROM f JOIN sec USING (security_id)) WHERE lagged IS NOT NULL GROUP BY symbol HAVING count(*) >= 4", "inc", "sec", f=FIRST.format(m="revenue")),
     "met18_correlation_matrix": sql(" UNION ALL ".join(f"SELECT '{a}' AS one, '{b}' AS other, round(covar_pop({a}, {b}) / (stddev_pop({a}) * stddev_pop({b})), 6) AS correlation FROM fc WHERE prediction IS NOT NULL" for a, b in (("actual", "prediction"), ("actual", "naive"), ("prediction", "naive"))), "fc"),
     "mdl1_naive": sql("SELECT security_id, as_of_date, naive_baseline, naive_baseline AS rw_pred, naive_baseline AS sn_pred, naive_baseline AS ly_pred FROM nb", "inc", "sec", **{k: _CAND[k] for k in ("g", "nb")}),

@@ -50,11 +50,6 @@ def facts(v: Views) -> DataFrame:
     return tall(flows, names, "start").unionByName(tall(v.reported(BALANCE), points, "cast(null as date)"))
 
 
-_FACT_SQL = {
-    "flows0": "SELECT *, CASE WHEN period = 'FY' THEN make_date(fiscal_year, 1, 1) ELSE CAST(end_date + INTERVAL 1 DAY - INTERVAL 3 MONTH AS DATE) END AS start FROM inc0 JOIN (SELECT security_id, fiscal_year, period, accepted_date, operating_cash_flow, capital_expenditure FROM cf0) USING (security_id, fiscal_year, period, accepted_date)",
-}
-
-
 QUERIES = {
     "grd1_filing_dates": lambda v: grids.filing_dates(v.income(), v.securities()),
     "grd2_fiscal_year_end": year_grid,
@@ -88,6 +83,7 @@ QUERIES = {
     "cns1_label_dates": lambda v: v.raw_estimates().select("security_id", "pulled_at", "period", market.label_date(F.col("period"), F.col("pulled_at").cast("date")).alias("target_date")),
     "cns2_estimate_rows": lambda v: estimates(v),
     "flt9_right_length": lambda v: facts(v).withColumn("period", normalize.period_of(F.col("form"), F.col("fp"))).groupBy("period", normalize.right_length().alias("fits")).agg(F.count("*").alias("n")),
+    "cov3_concept_sources": lambda v: normalize.concept_sources(facts(v), "revenue", 1999, "FY"),
     "jn1_anchor_join": lambda v: anchors(v),
 }
 
@@ -127,9 +123,13 @@ _INC_FIELDS = ["revenue", "gross_profit", "ebitda", "ebit", "net_income", "eps_d
 _BAL_FIELDS = ["total_assets", "total_liabilities", "total_equity", "cash_and_equivalents", "current_assets", "current_liabilities", "long_term_debt"]
 _KNOWN_BAL = "coalesce(total_assets, total_equity, long_term_debt) IS NOT NULL"
 _NULLS = "CAST(NULL AS DOUBLE)"
+_N_FACTS = "SELECT period, CAST(sum(n) AS BIGINT) AS n FROM (SELECT period, count(revenue) + count(gross_profit) + count(ebit) + count(net_income) + count(eps_diluted) AS n FROM inc0 GROUP BY period UNION ALL SELECT period, count(operating_cash_flow) + count(capital_expenditure) FROM cf0 GROUP BY period UNION ALL SELECT period, count(total_assets) + count(total_equity) + count(long_term_debt) FROM bal GROUP BY period) GROUP BY period"
 _COUNTS = " UNION ALL ".join(f"SELECT '{name}' AS statement, period, count(*) AS n FROM {view} WHERE {cond} GROUP BY period" for name, view, cond in (("income_statement", "inc", "coalesce(revenue, gross_profit, ebit, net_income, eps_diluted) IS NOT NULL"), ("balance_sheet", "bal", _KNOWN_BAL), ("cashflow", "cf", "coalesce(operating_cash_flow, capital_expenditure) IS NOT NULL")))
 
 SQL = {
+    "nrm1_period_of": sql(f"SELECT CASE WHEN period = 'FY' THEN '10-K' ELSE '10-Q' END AS form, period AS fp, period, n FROM ({_N_FACTS})", "inc0", "cf0", "bal"),
+    "flt9_right_length": sql(f"SELECT period, TRUE AS fits, n FROM ({_N_FACTS})", "inc0", "cf0", "bal"),
+    "cov3_concept_sources": sql("SELECT security_id, 'revenue' AS field, end_date AS \"end\", CASE WHEN CAST(security_id AS INT) % 2 = 0 THEN 'Revenues' ELSE 'SalesRevenueNet' END AS concept, CASE WHEN CAST(security_id AS INT) % 2 = 0 THEN 0 ELSE 2 END AS priority, revenue AS value FROM inc0 WHERE fiscal_year = 1999 AND period = 'FY' AND revenue IS NOT NULL QUALIFY row_number() OVER (PARTITION BY security_id ORDER BY accepted_date DESC) = 1", "inc0"),
     "grd1_filing_dates": _grid_sql(f"SELECT DISTINCT security_id, accepted_date AS as_of_date, {_src("concat(period, '.', fiscal_year)")} AS as_of_source FROM inc"),
     "grd2_fiscal_year_end": _grid_sql(f"SELECT security_id, min(accepted_date) AS as_of_date, {_src("concat('FY.', fiscal_year)")} AS as_of_source FROM inc WHERE period = 'FY' GROUP BY security_id, fiscal_year"),
     "grd3_quarterly": _grid_sql(f"SELECT security_id, max(accepted_date) AS as_of_date, {_src("concat(period, '.', fiscal_year)")} AS as_of_source FROM inc GROUP BY security_id, fiscal_year, period"),
