@@ -168,7 +168,7 @@ SQL = {
     "jn6_fold_roles": sql("SELECT fold_idx, role, count(*) AS n, min(as_of_date) AS first, max(target_accepted_date) AS last FROM roles GROUP BY ALL", "inc", "sec", **_CAND),
     "bt3_candidates": sql("SELECT * FROM cand", "inc", "sec", **{k: _CAND[k] for k in ("g", "f", "tg", "nb", "cand")}),
     "bt3_unresolved": sql("SELECT count(*) AS n_grid, count(*) FILTER (target_fy IS NULL) AS n_unresolved, count(*) FILTER (target_fy IS NOT NULL AND naive_baseline IS NULL) AS n_without_baseline FROM g LEFT JOIN tg USING (security_id, as_of_date) LEFT JOIN nb USING (security_id, as_of_date)", "inc", "sec", **{k: _CAND[k] for k in ("g", "f", "tg", "nb")}),
-    "bt8_cache_keys": sql("SELECT security_id, as_of_date, model_name, sha256(concat_ws('|', 'v2', 'cfg', fp, security_id, CAST(as_of_date AS VARCHAR), 'ebit', model_name)) AS cache_key FROM (SELECT DISTINCT * FROM grid) JOIN (SELECT security_id, sha256(concat_ws('|', coalesce(concat_ws(':', 'income_statement', i.n, CAST(i.u AS VARCHAR), CAST(i.e AS VARCHAR)), 'income_statement:0'), coalesce(concat_ws(':', 'prices', p.n, CAST(p.u AS VARCHAR)), 'prices:0'), 'stub')) AS fp FROM sec LEFT JOIN (SELECT security_id, count(*) AS n, max(accepted_date) AS u, max(end_date) AS e FROM inc GROUP BY 1) i USING (security_id) LEFT JOIN (SELECT security_id, count(*) AS n, max(date) AS u FROM px GROUP BY 1) p USING (security_id)) USING (security_id), (VALUES ('lgbm'), ('ar1')) AS m(model_name)", "inc", "sec", "grid", "px"),
+    "bt8_cache_keys": sql("SELECT security_id, as_of_date, model_name, sha256(concat_ws('|', 'v2', 'cfg', fp, security_id, CAST(as_of_date AS VARCHAR), 'ebit', model_name)) AS cache_key FROM (SELECT DISTINCT * FROM grid) JOIN (SELECT security_id, sha256(concat_ws('|', CASE WHEN i.n IS NULL THEN 'income_statement:0' ELSE concat_ws(':', 'income_statement', i.n, CAST(i.u AS VARCHAR), CAST(i.e AS VARCHAR)) END, CASE WHEN p.n IS NULL THEN 'prices:0' ELSE concat_ws(':', 'prices', p.n, CAST(p.u AS VARCHAR)) END, 'stub')) AS fp FROM sec LEFT JOIN (SELECT security_id, count(*) AS n, max(accepted_date) AS u, max(end_date) AS e FROM inc GROUP BY 1) i USING (security_id) LEFT JOIN (SELECT security_id, count(*) AS n, max(date) AS u FROM px GROUP BY 1) p USING (security_id)) USING (security_id), (VALUES ('lgbm'), ('ar1')) AS m(model_name)", "inc", "sec", "grid", "px"),
     "pl2_output_checks": sql("SELECT 'nan_rate' AS \"check\", round(avg(CASE WHEN prediction IS NULL THEN 1e0 ELSE 0e0 END), 6) AS value, 0.05e0 AS \"limit\", avg(CASE WHEN prediction IS NULL THEN 1e0 ELSE 0e0 END) <= 0.05 AS ok FROM fc UNION ALL SELECT 'security_count', count(DISTINCT model), 3e0, count(DISTINCT model) = 3 FROM fc", "fc"),
     "mdl11_forecast_context": sql("SELECT security_id, as_of_date, count(*) AS n, arg_min(eps_diluted, ROW(end_date, period)) AS first, arg_max(eps_diluted, ROW(end_date, period)) AS last FROM (SELECT DISTINCT security_id, as_of_date FROM grid) JOIN (SELECT security_id, as_of_date, period, end_date, eps_diluted FROM st WHERE period LIKE 'Q%' AND eps_diluted IS NOT NULL) USING (security_id, as_of_date) GROUP BY ALL", "inc", "grid", st="SELECT g.security_id, g.as_of_date, period, end_date, arg_max(eps_diluted, accepted_date) AS eps_diluted FROM (SELECT DISTINCT * FROM grid) g JOIN inc t ON t.security_id = g.security_id AND t.accepted_date <= g.as_of_date GROUP BY g.security_id, g.as_of_date, fiscal_year, period, end_date"),
     "met1_mape_by_horizon": sql(f"SELECT model, bucket, round(avg({_APE}), 6) AS mape FROM mk GROUP BY ALL", "fc", tall=f"SELECT model, {_BUCKET} AS bucket, actual, prediction FROM fc", mk=_M.format(by="model, bucket", t="tall")),
