@@ -202,6 +202,7 @@ def test_lines_match_brute_force(spark):
 
 def test_a_large_group_of_near_lines(spark, monkeypatch):
     monkeypatch.setattr(line_dedup, "HUBS", 2)
+    monkeypatch.setattr(line_dedup, "FEW_PAIRS", 0)
     rng = random.Random(12)
     base = [f"base{i}" for i in range(50)]
     docs = [(i, " ".join(w if rng.random() > 0.03 else f"new{rng.randrange(10**6)}" for w in base)) for i in range(120)] + [(500 + i, " ".join(base)) for i in range(3)]

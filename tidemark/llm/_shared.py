@@ -70,7 +70,6 @@ class Scratch:
         self.spark = spark
         self.path = f"{shared_folder(spark)}/tidemark/{name}-{uuid.uuid4().hex}"
         self.n = 0
-        self.at: dict[int, str] = {}
 
     def cut(self, frame: DataFrame) -> DataFrame:
         """The same rows, read back from a table in the shared folder."""
@@ -78,7 +77,6 @@ class Scratch:
         where = f"{self.path}/{self.n}"
         frame.write.parquet(where)
         out = self.spark.read.schema(frame.schema).parquet(where)
-        self.at[id(out)] = where
         out._tidemark_at = where
         return out
 
