@@ -111,10 +111,6 @@ def batches_of(batches: Iterator[pa.RecordBatch], column: str, most: int = CHUNK
         yield pa.Table.from_batches(held), texts
 
 
-def emit(columns: dict[str, pa.Array], schema: pa.Schema) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([columns[f.name] for f in schema], schema=schema)
-
-
 def learn_from(doc_id: str = "doc_id"):
     """Rows whose labels may be learnt from: crc32 of the id as text is not divisible by 5."""
     return F.coalesce(F.crc32(F.col(doc_id).cast("string").cast("binary")), F.lit(0)) % 5 != 0
