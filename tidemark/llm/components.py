@@ -7,7 +7,9 @@ split hot keys (adaptive skew joins) and combine hot groups before they are shuf
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from contextlib import contextmanager, nullcontext
+
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.llm._shared import Scratch
@@ -26,6 +28,23 @@ def components(edges: DataFrame, scratch: Scratch, most_rounds: int = 60) -> Dat
     """
     one = edges.select(F.col("a").cast("long"), F.col("b").cast("long")).where("a <> b")
     small = one.count() <= MOST_SMALL
+    with interpreted(scratch.spark) if small else nullcontext():
+        return _rounds(one, scratch, small, most_rounds)
+
+
+@contextmanager
+def interpreted(spark: SparkSession):
+    """No code generation for whole stages meanwhile: for a few rows a round, its classes cost more than they save."""
+    name = "spark.sql.codegen.wholeStage"
+    before = spark.conf.get(name)
+    spark.conf.set(name, "false")
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
+def _rounds(one: DataFrame, scratch: Scratch, small: bool, most_rounds: int) -> DataFrame:
     side = F.broadcast if small else lambda x: x
     few = (lambda x: x.coalesce(4)) if small else lambda x: x
     both = scratch.cut(few(one.union(one.select(F.col("b"), F.col("a"))).distinct()))
