@@ -97,18 +97,19 @@ def holds(rule: Rule, stats: np.ndarray) -> np.ndarray:
 
 def lasso(r: np.ndarray, y: np.ndarray, penalty: float = LASSO, steps: int = STEPS) -> tuple[float, np.ndarray]:
     """Intercept and weights of an L1-penalised logistic regression, by accelerated proximal steps."""
-    r = r.astype(np.float64)
-    a = np.c_[np.ones(len(r)), r]
-    w = np.zeros(a.shape[1])
+    r = r.astype(np.float32)  # 0 and 1; half the driver's memory
+    w = np.zeros(r.shape[1] + 1)
     v, t = w.copy(), 1.0
-    probe = np.ones(a.shape[1])
+    along = lambda u: r @ u[1:].astype(np.float32) + u[0]
+    back = lambda e: np.r_[e.sum(), r.T @ e.astype(np.float32)]
+    probe = np.ones(len(w))
     for _ in range(30):
-        probe = a.T @ (a @ probe)
+        probe = back(along(probe))
         probe /= np.linalg.norm(probe)
-    rate = 4 * len(y) / (np.linalg.norm(a @ probe) ** 2 + 1e-9)
+    rate = 4 * len(y) / (np.linalg.norm(along(probe)) ** 2 + 1e-9)
     for _ in range(steps):
-        p = 1 / (1 + np.exp(-np.clip(a @ v, -30, 30)))
-        new = v - rate * (a.T @ (p - y)) / len(y)
+        p = 1 / (1 + np.exp(-np.clip(along(v).astype(np.float64), -30, 30)))
+        new = v - rate * back(p - y) / len(y)
         new[1:] = np.sign(new[1:]) * np.maximum(np.abs(new[1:]) - rate * penalty, 0)
         s = (1 + np.sqrt(1 + 4 * t * t)) / 2
         v, w, t = new + (t - 1) / s * (new - w), new, s
