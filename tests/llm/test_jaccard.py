@@ -108,3 +108,31 @@ def test_sizes_that_can_link_are_enumerated(a):
         assert 100 * need >= 85 * (a + b - need) and 100 * (need - 1) < 85 * (a + b - need + 1)
         if need <= min(a, b):
             assert need in jaccard.subset_sizes(a) and need in jaccard.subset_sizes(b)
+
+
+def test_the_stage_links_five_word_shingles_at_four_fifths(spark):
+    import corpus_pipeline
+
+    rng = random.Random(8)
+    rows = []
+    for g in range(12):
+        base = [f"w{rng.randrange(3000)}" for _ in range(rng.choice([8, 14, 22, 40, 70, 150]))]
+        rows += [" ".join(base)] + [" ".join(edited(rng, base, rng.choice([0, 0.02, 0.04]))) for _ in range(6)]
+    base = [f"v{i}" for i in range(104)]
+    rows += [" ".join(base), " ".join([*base[:-11], *(f"y{i}" for i in range(11))])]  # 89 of 111 shingles: links here, not at 0.85
+    rows = list(enumerate(rows))
+    sets, up = sets_of([t for _, t in rows], 5), list(range(len(rows)))
+
+    def find(i):
+        while up[i] != i:
+            i = up[i]
+        return i
+
+    for i in range(len(rows)):
+        for j in range(i):
+            both = len(sets[i] & sets[j])
+            if 100 * both >= 80 * (len(sets[i]) + len(sets[j]) - both):
+                a, b = sorted((find(i), find(j)))
+                up[b] = a
+    kept = corpus_pipeline.jaccard_join(spark, spark.createDataFrame(rows, "doc_id long, text string"), "")
+    assert sorted(r.doc_id for r in kept.collect()) == sorted({find(i) for i in range(len(rows))})

@@ -1,7 +1,7 @@
 """N-gram Jaccard join: a size-aware join of shingle sets, light sets by subsets, heavy sets by inverted lists.
 
 A document's set holds its distinct ``SHINGLE``-word shingles. Two sets link when 100 times their
-intersection is at least 85 times their union. Equal sets are one node from the start. Then
+intersection is at least ``part`` (85 unless another is named) times their union. Equal sets are one node from the start. Then
 
 * light sets (of at most ``boundary`` shingles) enumerate their subsets of fixed sizes: two sets that
   link share a subset as large as the overlap they need, and there are few of those;
@@ -74,60 +74,60 @@ def fingerprint(items: np.ndarray, salt: np.uint64) -> int:
         return int(W.mix(np.array([W.mix(items ^ salt).sum(dtype=U) + U(len(items))]))[:1].view(np.int64)[0])
 
 
-def least_overlap(a: int, b: int) -> int:
+def least_overlap(a: int, b: int, part: int = PART) -> int:
     """The smallest intersection with which sets of these sizes link."""
-    return -(-PART * (a + b) // (PART + WHOLE))
+    return -(-part * (a + b) // (part + WHOLE))
 
 
-def partners(size: int) -> tuple[int, int]:
+def partners(size: int, part: int = PART) -> tuple[int, int]:
     """The smallest and the largest size of a set that can link with one of this size."""
-    return -(-PART * size // WHOLE), WHOLE * size // PART
+    return -(-part * size // WHOLE), WHOLE * size // part
 
 
-def subset_sizes(size: int) -> list[int]:
+def subset_sizes(size: int, part: int = PART) -> list[int]:
     """Overlaps that some partner of a set of this size needs."""
-    lo, hi = partners(size)
-    return sorted({least_overlap(size, x) for x in range(lo, hi + 1)} & set(range(size + 1)))
+    lo, hi = partners(size, part)
+    return sorted({least_overlap(size, x, part) for x in range(lo, hi + 1)} & set(range(size + 1)))
 
 
-def subset_cost(size: int) -> int:
-    return sum(comb(size, c) for c in subset_sizes(size))
+def subset_cost(size: int, part: int = PART) -> int:
+    return sum(comb(size, c) for c in subset_sizes(size, part))
 
 
-def classes_from(boundary: int, largest: int) -> list[tuple[int, int, int, int]]:
+def classes_from(boundary: int, largest: int, part: int = PART) -> list[tuple[int, int, int, int]]:
     """Size classes above the boundary: lo, hi, blocks m, and how many blocks may be empty."""
     out, lo = [], boundary + 1
     while lo <= largest:
         hi = max(lo, int(lo * STRETCH))
-        d = (WHOLE - PART) * 2 * hi // (WHOLE + PART)
+        d = (WHOLE - part) * 2 * hi // (WHOLE + part)
         spare = 1 + -(-d // 20)
         out.append((lo, hi, d + 1 + spare, spare))
         lo = hi + 1
     return out
 
 
-def entry_cost(size: int) -> float:
-    return sum(ENTRY_COST * m for lo, hi, m, _ in classes_from(size - 1, size * 2) if PART * lo <= WHOLE * size and size <= hi)
+def entry_cost(size: int, part: int = PART) -> float:
+    return sum(ENTRY_COST * m for lo, hi, m, _ in classes_from(size - 1, size * 2, part) if part * lo <= WHOLE * size and size <= hi)
 
 
-def choose_boundary(counts: dict[int, int]) -> int:
+def choose_boundary(counts: dict[int, int], part: int = PART) -> int:
     """The size up to which subsets are enumerated, from the counts of sets of the sizes 1 to MOST_LIGHT."""
-    costs = [sum(n * (subset_cost(s) if s <= x else entry_cost(s)) for s, n in counts.items()) for x in range(1, MOST_LIGHT + 1)]
+    costs = [sum(n * (subset_cost(s, part) if s <= x else entry_cost(s, part)) for s, n in counts.items()) for x in range(1, MOST_LIGHT + 1)]
     return 1 + int(np.argmin(costs))
 
 
-def keys_of(items: np.ndarray, boundary: int, classes: list[tuple[int, int, int, int]]) -> np.ndarray:
+def keys_of(items: np.ndarray, boundary: int, classes: list[tuple[int, int, int, int]], part: int = PART) -> np.ndarray:
     """The keys under which a set meets its partners: hashes of subsets, blocks, or shingles."""
     n, out = len(items), []
     with np.errstate(over="ignore"):
         if 0 < n <= boundary:
             x = W.mix(items ^ _ONE)
             total = x.sum(dtype=U)
-            for c in subset_sizes(n):
+            for c in subset_sizes(n, part):
                 left = [U(0)] if c == n else [x[list(k)].sum(dtype=U) for k in combinations(range(n), n - c)]
                 out.append(W.mix(total - np.array(left, U) + U(c) * _TWO))
         for j, (lo, hi, m, spare) in enumerate(classes):
-            if PART * lo > WHOLE * n or n > hi:
+            if part * lo > WHOLE * n or n > hi:
                 continue
             for deal in range(DEALINGS):
                 salt = U((j * DEALINGS + deal + 1) * 0x632BE59BD9B4E019 & 0xFFFFFFFFFFFFFFFF)
@@ -138,7 +138,7 @@ def keys_of(items: np.ndarray, boundary: int, classes: list[tuple[int, int, int,
                 if m - len(at) <= spare:
                     break
             else:
-                out.append(W.mix(np.sort(items)[: n - -(-PART * n // WHOLE) + 1] + U(j + 1) * _TWO))
+                out.append(W.mix(np.sort(items)[: n - -(-part * n // WHOLE) + 1] + U(j + 1) * _TWO))
     return np.concatenate(out).view(np.int64) if out else np.empty(0, np.int64)
 
 
@@ -166,14 +166,14 @@ def _small(side: DataFrame, most: int) -> DataFrame:
     return F.broadcast(side) if side.count() <= most else side
 
 
-def _linked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _linked(batches: Iterator[pa.RecordBatch], part: int = PART) -> Iterator[pa.RecordBatch]:
     """The pairs whose whole sets link."""
     for batch in batches:
         keep = []
         for x, y in zip(batch.column("x").to_pylist(), batch.column("y").to_pylist(), strict=True):
             x, y = np.frombuffer(x, U), np.frombuffer(y, U)
             both = len(np.intersect1d(x, y, assume_unique=True))
-            keep.append(WHOLE * both >= PART * (len(x) + len(y) - both))
+            keep.append(WHOLE * both >= part * (len(x) + len(y) - both))
         yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
 
@@ -195,13 +195,13 @@ def _sketched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(map(len, sets), pa.int64()), pa.array([sketch(x).tobytes() for x in sets], pa.binary())], names=["id", "n", "sketch"])
 
 
-def may_link(n: np.ndarray, m: np.ndarray, apart: np.ndarray) -> np.ndarray:
+def may_link(n: np.ndarray, m: np.ndarray, apart: np.ndarray, part: int = PART) -> np.ndarray:
     """Whether sets of n and m shingles that differ in at least ``apart`` can link."""
-    both = -(-PART * (n + m) // (PART + WHOLE))
-    return (WHOLE * np.minimum(n, m) >= PART * np.maximum(n, m)) & (apart <= n + m - 2 * both)
+    both = -(-part * (n + m) // (part + WHOLE))
+    return (WHOLE * np.minimum(n, m) >= part * np.maximum(n, m)) & (apart <= n + m - 2 * both)
 
 
-def _passing(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _passing(batches: Iterator[pa.RecordBatch], part: int = PART) -> Iterator[pa.RecordBatch]:
     """The pairs whose sizes and sketches let them link."""
     for batch in batches:
         apart = []
@@ -209,11 +209,11 @@ def _passing(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             x, y = np.frombuffer(x, U), np.frombuffer(y, U)
             least = min(len(x), len(y))
             apart.append(int(np.bitwise_count(fold(x, least) ^ fold(y, least)).sum()))
-        ok = may_link(np.asarray(batch.column("n_a")), np.asarray(batch.column("n_b")), np.array(apart, np.int64))
+        ok = may_link(np.asarray(batch.column("n_a")), np.asarray(batch.column("n_b")), np.array(apart, np.int64), part)
         yield batch.select(["a", "b"]).filter(pa.array(ok, pa.bool_()))
 
 
-def _tiled(batches: Iterator[pa.RecordBatch], nearest: bool) -> Iterator[pa.RecordBatch]:
+def _tiled(batches: Iterator[pa.RecordBatch], nearest: bool, part: int = PART) -> Iterator[pa.RecordBatch]:
     """The pairs of a tile that are in different components and may link; rows come sorted by tile.
 
     ``nearest``: of each member only the pair whose sketches differ least.
@@ -233,7 +233,7 @@ def _tiled(batches: Iterator[pa.RecordBatch], nearest: bool) -> Iterator[pa.Reco
             for s in range(0, hi - lo, step):
                 e = slice(lo + s, min(hi, lo + s + step))
                 apart = np.bitwise_count(m[s : s + step, None, :] ^ m[None]).sum(2, dtype=np.int64)
-                ok = may_link(n[e][:, None], n[here][None], apart) & (root[e][:, None] != root[here][None])
+                ok = may_link(n[e][:, None], n[here][None], apart, part) & (root[e][:, None] != root[here][None])
                 if i[lo] != j[lo]:
                     ok &= p[e][:, None] != p[here][None]
                 if nearest:
@@ -259,7 +259,7 @@ def _tiled(batches: Iterator[pa.RecordBatch], nearest: bool) -> Iterator[pa.Reco
         yield from work(pa.Table.from_batches(held))
 
 
-def classes_of(docs: DataFrame, key: str = "doc_id", text: str = "text", shingle: int = SHINGLE) -> DataFrame:
+def classes_of(docs: DataFrame, key: str = "doc_id", text: str = "text", shingle: int = SHINGLE, part: int = PART) -> DataFrame:
     """Rows (key, n_shingles, set_id, component_id): set_id is the same for equal sets, null for an empty one."""
     spark = docs.sparkSession
     small_batches(spark)
@@ -276,11 +276,11 @@ def classes_of(docs: DataFrame, key: str = "doc_id", text: str = "text", shingle
     alone = F.when(F.min("other") == F.max("other"), F.min(key)).otherwise(F.raise_error(F.lit("two sets have one name")).cast(docs.schema[key].dataType))
     sets = scratch.cut(named.where("set_id is not null").groupBy("set_id").agg(alone.alias("least"), F.max("n_shingles").alias("n")))
     counts = {r.n: r["count"] for r in sets.where(F.col("n") <= MOST_LIGHT).groupBy("n").count().collect()}  # MOST_LIGHT rows at most
-    boundary = choose_boundary(counts)
-    classes = classes_from(boundary, sets.agg(F.coalesce(F.max("n"), F.lit(0))).first()[0])
+    boundary = choose_boundary(counts, part)
+    classes = classes_from(boundary, sets.agg(F.coalesce(F.max("n"), F.lit(0))).first()[0], part)
 
     def buckets(new: list[tuple[int, np.ndarray]]) -> pa.RecordBatch:
-        keys = [keys_of(items, boundary, classes) for _, items in new]
+        keys = [keys_of(items, boundary, classes, part) for _, items in new]
         ids = np.repeat(np.array([x for x, _ in new], np.int64), [len(k) for k in keys])
         return pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys)), pa.array(ids)], names=["key", "id"])
 
@@ -298,13 +298,13 @@ def classes_of(docs: DataFrame, key: str = "doc_id", text: str = "text", shingle
         ids = _small(scratch.cut(pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct()), MOST_BROADCAST)
         need = held.join(ids, "id", "left_semi")
         with_a = pairs.join(need.select(F.col("id").alias("a"), F.col("items").alias("x")), "a")
-        return with_a.join(need.select(F.col("id").alias("b"), F.col("items").alias("y")), "b").select("a", "b", "x", "y").mapInArrow(_linked, "a long, b long")
+        return with_a.join(need.select(F.col("id").alias("b"), F.col("items").alias("y")), "b").select("a", "b", "x", "y").mapInArrow(lambda b: _linked(b, part), "a long, b long")
 
     star = scratch.cut(first.where("a < id").select("a", F.col("id").alias("b")))
     sized = star
     for end in ("a", "b"):
         sized = sized.join(sketches.select(F.col("id").alias(end), F.col("n").alias(f"n_{end}"), F.col("sketch").alias(f"s_{end}")), end)
-    links = scratch.cut(close(scratch.cut(sized.mapInArrow(_passing, "a long, b long"))))
+    links = scratch.cut(close(scratch.cut(sized.mapInArrow(lambda b: _passing(b, part), "a long, b long"))))
     found = components(links, scratch)
     tried = star.select("a", "b")
     for nearest in (*[True] * NEAREST, False):
@@ -313,7 +313,7 @@ def classes_of(docs: DataFrame, key: str = "doc_id", text: str = "text", shingle
         open_ = told.join(mixed, "key").withColumn("p", F.pmod(F.xxhash64("id"), F.col("parts")).cast("int"))
         tiles = open_.withColumn("o", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).select("key", F.least("p", "o").alias("i"), F.greatest("p", "o").alias("j"), "p", "id", "root")
         rows = tiles.join(sketches, "id").repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
-        found_pairs = scratch.cut(rows.mapInArrow(lambda b, nearest=nearest: _tiled(b, nearest), "a long, b long").distinct())
+        found_pairs = scratch.cut(rows.mapInArrow(lambda b, nearest=nearest: _tiled(b, nearest, part), "a long, b long").distinct())
         if found_pairs.isEmpty():
             break  # no pair that may link is open
         # A set that may link with no other is done with.
@@ -330,13 +330,13 @@ def classes_of(docs: DataFrame, key: str = "doc_id", text: str = "text", shingle
     return named.join(by_set, "set_id", "left").select(key, "n_shingles", "set_id", F.coalesce("component_id", key).alias("component_id"))
 
 
-def keep_one(docs: DataFrame, key: str = "doc_id", text: str = "text", shingle: int = SHINGLE) -> DataFrame:
+def keep_one(docs: DataFrame, key: str = "doc_id", text: str = "text", shingle: int = SHINGLE, part: int = PART) -> DataFrame:
     """One document of each component, that with the least key; documents without words all stay."""
     spark, names = docs.sparkSession, docs.columns
     if "_set_id" in names:
         raise ValueError("a column has the name of one that this adds")
     scratch = Scratch(spark, "keep-one")
-    told = scratch.cut(classes_of(docs, key, text, shingle))
+    told = scratch.cut(classes_of(docs, key, text, shingle, part))
 
     def tag(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows, data in batches_of(batches, text):
