@@ -1,6 +1,7 @@
 """Baselines, blending, quantiles, the regressor, the backtest, runs and the cache."""
 
 import datetime as dt
+import os
 
 import numpy as np
 import pytest
@@ -8,6 +9,8 @@ from pyspark.sql import functions as F
 from pytest_help import D, grid
 from tidemark.functions import models
 from tidemark.operators import backtest, grids, pit, runs
+from tidemark.plans import metric_queries
+from tidemark.plans.views import Views
 
 
 def test_ar1(spark):
@@ -187,3 +190,16 @@ def test_forecast_ids_do_not_depend_on_order(spark):
     b = spark.createDataFrame([("y",), ("x",)], "security_id string")
     assert runs.forecast_id("m", D("2024-01-01"), a, "ebit") == runs.forecast_id("m", D("2024-01-01"), b, "ebit")
     assert pit.check_metric("ebit") == "ebit"
+
+
+@pytest.mark.skipif(not os.path.isdir("/root/testdata/sf0.001"), reason="no test tables here")
+def test_the_registered_backtest_leaves_no_dated_row_out(spark, monkeypatch):
+    seen = []
+    monkeypatch.setattr(backtest, "run", lambda spark, config, tables, backend: seen.append((config, tables)) or backtest.Result(spark.createDataFrame([], ", ".join(f"{c} double" for c in [*backtest.PREDICTIONS.values(), "target_value", "naive_baseline", "horizon_days"]))))
+    metric_queries.QUERIES["bt4_backtest"](Views(spark, "/root/testdata/sf0.001"))
+    config, tables = seen[0]
+    default = backtest.Config()
+    assert (config.rounds, config.features) == (default.rounds, default.features)
+    rows = backtest.candidates(config, tables)
+    tested = backtest.roles(rows, grids.folds(spark, config.start_year, config.end_year)).where("role = 'test'")
+    assert tested.count() == rows.count() > 0
