@@ -225,6 +225,13 @@ def test_documents_keep_one_copy_and_their_columns(spark):
     assert line_dedup.dedup(spark.createDataFrame([], DOCS)).collect() == []
 
 
+def test_copies_with_blank_lines_go(spark):
+    text = "First paragraph of the text\n\nand the second one\n---"
+    rows = [(1, text), (2, text), (3, text + "\nÄ"), (4, "\n---\n"), (5, "")]
+    out = line_dedup.dedup(spark.createDataFrame(rows, DOCS))
+    assert sorted((r.doc_id, r.text) for r in out.collect()) == [(1, text), (3, "\n---\nÄ"), (4, "\n---\n"), (5, "")]
+
+
 def test_more_blocks_find_the_same_links(spark):
     rng = random.Random(13)
     base = [f"b{i}" for i in range(40)]
