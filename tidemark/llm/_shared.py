@@ -80,6 +80,21 @@ class Scratch:
         out._tidemark_at = where
         return out
 
+    def again(self, frame: DataFrame) -> DataFrame:
+        """A table made by :meth:`cut` in any session, read in this one's."""
+        return self.spark.read.schema(frame.schema).parquet(frame._tidemark_at)
+
+    def apart(self, quiet: bool) -> Scratch:
+        """For ``quiet`` work on few rows: tables read in a session of their own without code generation for whole stages, whose classes would cost more than they save."""
+        if not quiet:
+            return self
+        out = Scratch.__new__(Scratch)
+        out.spark, out.path, out.n = self.spark.newSession(), f"{self.path}/{uuid.uuid4().hex}", 0
+        for name in ("spark.sql.shuffle.partitions", "spark.sql.session.timeZone"):
+            out.spark.conf.set(name, self.spark.conf.get(name))
+        out.spark.conf.set("spark.sql.codegen.wholeStage", "false")
+        return out
+
     def drop(self, frame: DataFrame) -> None:
         """Delete a table made by :meth:`cut` that nothing reads any more."""
         where = getattr(frame, "_tidemark_at", None)
@@ -89,6 +104,25 @@ class Scratch:
             path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
+#: Bytes of fixed-width rows up to which a side of a join is broadcast; beyond that the join shuffles.
+MOST_BROADCAST = 24 << 20
+
+
+def held_small(side: DataFrame, width: int, more: str | None = None) -> DataFrame:
+    """A side of a join, broadcast if its rows of ``width`` bytes, with ``more`` (SQL for further bytes of a row), are few enough."""
+    size = F.count("*") * (width + 16) + (F.coalesce(F.sum(F.expr(more)), F.lit(0)) if more else F.lit(0))
+    return F.broadcast(side) if side.agg(size.alias("n")).first().n <= MOST_BROADCAST else side
+
+
+def fresh(frame: DataFrame, *names: str) -> list[str]:
+    """Names like these that no column of ``frame`` has."""
+    taken = [c.lower() for c in frame.columns]
+    lead = "_"
+    while any(c.startswith(lead) for c in taken):
+        lead += "_"
+    return [f"{lead}{n}" for n in names]
+
+
 def batches_of(batches: Iterator[pa.RecordBatch], column: str, most: int = CHUNK_BYTES) -> Iterator[tuple[pa.Table, list[bytes]]]:
     """Groups of Arrow batches with about ``most`` bytes of ``column``, each with that column as bytes (null: empty)."""
     held: list[pa.RecordBatch] = []

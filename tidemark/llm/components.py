@@ -7,9 +7,7 @@ split hot keys (adaptive skew joins) and combine hot groups before they are shuf
 
 from __future__ import annotations
 
-from contextlib import contextmanager, nullcontext
-
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.llm._shared import Scratch
@@ -19,46 +17,29 @@ from tidemark.llm._shared import Scratch
 MOST_SMALL = 500_000
 
 
-def components(edges: DataFrame, scratch: Scratch, most_rounds: int = 60) -> DataFrame:
+def components(edges: DataFrame, scratch: Scratch) -> DataFrame:
     """(node, root) for every node of ``edges`` (a, b): root is the component's smallest node.
 
     Each round hooks a node and its parent to the smallest grandparent among its neighbours and
-    then shortcuts, so chains halve and stars close at once. Loops and repeated edges are harmless;
-    null ends are ignored; no edges give no rows.
+    then shortcuts, so chains halve and stars close at once; it ends when a round moves nothing. Loops and repeated
+    edges are harmless; null ends are ignored; no edges give no rows.
     """
     one = edges.select(F.col("a").cast("long"), F.col("b").cast("long")).where("a <> b")
     small = one.count() <= MOST_SMALL
-    with interpreted(scratch.spark) if small else nullcontext():
-        return _rounds(one, scratch, small, most_rounds)
-
-
-@contextmanager
-def interpreted(spark: SparkSession):
-    """No code generation for whole stages meanwhile: for a few rows a round, its classes cost more than they save."""
-    name = "spark.sql.codegen.wholeStage"
-    before = spark.conf.get(name)
-    spark.conf.set(name, "false")
-    try:
-        yield
-    finally:
-        spark.conf.set(name, before)
-
-
-def _rounds(one: DataFrame, scratch: Scratch, small: bool, most_rounds: int) -> DataFrame:
     side = F.broadcast if small else lambda x: x
     few = (lambda x: x.coalesce(4)) if small else lambda x: x
-    both = scratch.cut(few(one.union(one.select(F.col("b"), F.col("a"))).distinct()))
-    tree = scratch.cut(few(both.groupBy(F.col("a").alias("v")).agg(F.min("b").alias("m")).select("v", F.least("v", "m").alias("p"))))
-    for _ in range(most_rounds):
+    quiet = scratch.apart(small)
+    both = quiet.cut(few(one.union(one.select(F.col("b"), F.col("a"))).distinct()))
+    tree = quiet.cut(few(both.groupBy(F.col("a").alias("v")).agg(F.min("b").alias("m")).select("v", F.least("v", "m").alias("p"))))
+    while True:
         up = tree.join(side(tree.select(F.col("v").alias("p"), F.col("p").alias("g"))), "p")
         # What each node and each parent hears of: neighbours' grandparents, and its own.
         heard = both.join(side(up.select(F.col("v").alias("b"), "g")), "b").join(side(tree.select(F.col("v").alias("a"), "p")), "a")
         told = heard.select(F.explode(F.array("a", "p")).alias("v"), "g").union(up.select("v", "g"))
         least = told.groupBy("v").agg(F.min("g").alias("n"))
-        new = scratch.cut(few(tree.join(side(least), "v").select("v", F.least("n", "p").alias("p"), (F.col("n") < F.col("p")).alias("moved"))))
-        scratch.drop(tree)
+        new = quiet.cut(few(tree.join(side(least), "v").select("v", F.least("n", "p").alias("p"), (F.col("n") < F.col("p")).alias("moved"))))
+        quiet.drop(tree)
         tree = new
         if new.where("moved").isEmpty():
-            scratch.drop(both)
-            return tree.select(F.col("v").alias("node"), F.col("p").alias("root"))
-    raise RuntimeError(f"components did not settle in {most_rounds} rounds")
+            quiet.drop(both)
+            return scratch.again(tree).select(F.col("v").alias("node"), F.col("p").alias("root"))
