@@ -357,6 +357,25 @@ def test_quality_is_learnt_and_held_out_rows_are_right(spark):
     assert kept.columns == docs.columns and kept.count() < 603
 
 
+def test_statistics_and_clashing_names(spark):
+    texts = ["Ab c1! é\nx  y x", "", None, "日本 Ω9,.;:", "a" * 30000 + " B" * 9]
+    rows = [(i, t, 0.1, "k", 5) for i, t in enumerate(texts)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, digit double, score string, _upper int")
+    got = docs.select("doc_id", *[c.alias(k) for k, c in quality.statistics("text").items()]).orderBy("doc_id").collect()
+    for r, t in zip(got, texts, strict=True):
+        t = t or ""
+        n, words, lines = len(t), re.split(r"\s+", t), t.split("\n")
+        share = lambda ok: sum(map(ok, t)) / max(n, 1)  # noqa: B023,E731
+        want = {"log_chars": np.log1p(n), "upper": share(str.isupper), "digit": share(lambda c: c in "0123456789"), "space": share(str.isspace), "points": share(lambda c: c in ".,;:"), "marks": share(lambda c: c in quality.MARKS.replace("\\\\", "\\").replace("\\[\\]", "[]")), "other": share(lambda c: not (c.isalnum() or c.isspace())), "word_chars": n / len(words), "new_words": len(set(words)) / len(words), "new_lines": len(set(lines)) / len(lines), "line_chars": np.log1p(n / len(lines))}
+        assert {k: r[k] for k in want} == pytest.approx(want), t[:20]
+    labels = spark.createDataFrame([(i, i % 2) for i in range(5)], "doc_id long, quality int")
+    out = quality.scored(docs, quality.fit(docs, labels))
+    assert out.columns == ["doc_id", "text", "digit", "_upper", "score"] and out.count() == 5
+    kept = quality.keep_good(docs, docs, labels, 0.0)
+    assert kept.columns == docs.columns and sorted(kept.collect()) == sorted(docs.collect())
+    assert quality.keep_good(docs.limit(0), docs, labels).collect() == []
+
+
 def test_rules_mean_the_same_compiled(spark):
     rng = np.random.default_rng(0)
     x = rng.random((400, 3))

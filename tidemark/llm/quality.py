@@ -19,7 +19,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm._shared import held_out, learn_from, table
+from tidemark.llm._shared import fresh, held_out, learn_from, table
 
 MOST_FIT = 8_000
 TREES, DEPTH, BINS, RATE, LEAST_LEAF = 40, 3, 32, 0.3, 10
@@ -52,6 +52,7 @@ def statistics(text: str) -> dict[str, Column]:
 
 
 Rule = tuple[tuple[int, bool, float], ...]  # (statistic, above, threshold)
+Model = tuple[float, list[tuple[Rule, float]]]  # intercept, weighted rules
 
 
 def _grow(x: np.ndarray, edges: list[np.ndarray], rows: np.ndarray, g: np.ndarray, h: np.ndarray, path: Rule, rules: list[Rule], out: np.ndarray) -> None:
@@ -122,21 +123,22 @@ def sample(docs: DataFrame, labels: DataFrame, label: str) -> DataFrame:
     return known.groupBy("doc_id").agg(F.max(label).alias("y")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(MOST_FIT)
 
 
-def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", text: str = "text") -> Column:
-    """The score as an expression over columns named by :func:`statistics`."""
+def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", text: str = "text") -> Model:
+    """Intercept and weighted rules."""
     chosen = sample(docs, labels, label)
     names = list(statistics(text))
     stats = docs.select("doc_id", F.col(text).alias("_t")).join(F.broadcast(chosen), "doc_id").select("doc_id", "y", *[c.alias(k) for k, c in statistics("_t").items()])
     one = stats.groupBy("doc_id", "y").agg(F.min(F.struct(*names)).alias("s"))  # one row an id, whatever its copies
     rows = one.select("y", "s.*").orderBy("doc_id").collect()
     if not rows:
-        return F.lit(0.5)
+        return 0.0, []
     y, x = np.array([r.y for r in rows], float), np.array([[r[k] for k in names] for r in rows], float)
     if y.min() == y.max():
-        return F.lit(float((y.sum() + 1) / (len(y) + 2)))
+        rate = float((y.sum() + 1) / (len(y) + 2))
+        return float(np.log(rate / (1 - rate))), []
     rules = extract_rules(x, y)
     base, weights = lasso(np.stack([holds(r, x) for r in rules], 1), y) if rules else (float(np.log(y.mean() / (1 - y.mean()))), np.empty(0))
-    return compile_rules(base, [(r, float(w)) for r, w in zip(rules, weights, strict=True) if w], names)
+    return base, [(r, float(w)) for r, w in zip(rules, weights, strict=True) if w]
 
 
 def compile_rules(base: float, rules: list[tuple[Rule, float]], names: list[str]) -> Column:
@@ -150,17 +152,23 @@ def compile_rules(base: float, rules: list[tuple[Rule, float]], names: list[str]
     return 1 / (1 + F.exp(-z))
 
 
-def scored(docs: DataFrame, score: Column, text: str = "text", into: str = "score") -> DataFrame:
-    """``docs`` with the score of each whole text."""
-    added = statistics(text)
-    if {into, *added} & set(docs.columns):
-        raise ValueError("a column has the name of one that this adds")
-    return docs.withColumns(added).withColumn(into, score).drop(*added)
+def scored(docs: DataFrame, model: Model, text: str = "text", into: str = "score") -> DataFrame:
+    """``docs`` with the score of each whole text; a column named ``into`` is replaced.
+
+    The statistics come out of a generator, through which nothing is inlined: each is computed once a row, whatever asks
+    for the score.
+    """
+    kept = docs.drop(into)
+    told = statistics(text)
+    names = fresh(kept, *told)
+    wide = kept.select("*", F.inline(F.array(F.struct(*[c.alias(n) for n, c in zip(names, told.values(), strict=True)]))))
+    return wide.select(*[F.col(f"`{c}`") for c in kept.columns], compile_rules(*model, names).alias(into))
 
 
 def keep_good(docs: DataFrame, fit_docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """The documents whose score reaches the threshold."""
-    return scored(docs, fit(fit_docs, labels), into="_score").where(F.col("_score") >= threshold).select(*docs.columns)
+    (score,) = fresh(docs, "score")
+    return scored(docs, fit(fit_docs, labels), into=score).where(F.col(score) >= threshold).select(*docs.columns)
 
 
 def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
