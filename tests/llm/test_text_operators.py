@@ -81,7 +81,7 @@ def test_contamination_matches_brute_force(spark, monkeypatch, bound):
     assert sorted((str(r.doc_id), r.n_words, r.n_hit, r["items"], r.contaminated) for r in got.collect()) == judged(docs, items)
 
 
-def test_contaminated_documents_and_spans_go(spark):
+def test_contaminated_documents_and_spans_go(spark, monkeypatch):
     item = " ".join(f"q{i}" for i in range(20))
     docs = [(1, f"début {item}. fin"), (2, "clean"), (3, None), (4, "x " * 500 + item)]
     frame, items = spark.createDataFrame(docs, DOCS), spark.createDataFrame([(1, item)], ITEMS)
@@ -89,8 +89,12 @@ def test_contaminated_documents_and_spans_go(spark):
     cut = {r.doc_id: r.text for r in decontaminate.cut_spans(frame, items).collect()}
     assert cut == {1: "début . fin", 2: "clean", 3: None, 4: "x " * 500}
     assert decontaminate.report(frame, items.limit(0)).where("n_hit > 0").isEmpty()
-    with pytest.raises(ValueError):
-        decontaminate.report(frame.withColumn("n_hit", F.lit(1)), items)
+    clash = frame.withColumns({"n_hit": F.lit("x"), "items": F.lit(1), "spans": F.lit(2), "_items": F.lit(3)})
+    assert sorted((r.doc_id, r["items"], r._items) for r in decontaminate.drop_contaminated(clash, items).collect()) == [(2, 1, 3), (3, 1, 3), (4, 1, 3)]
+    told = decontaminate.report(clash, items)
+    assert told.columns == ["doc_id", "text", "_items", *decontaminate.ADDED] and {r.doc_id: r.n_hit for r in told.collect()} == {1: 20, 2: 0, 3: 0, 4: 20}
+    monkeypatch.setattr(decontaminate, "MOST_BROADCAST", 0)
+    assert {r.doc_id: r.n_hit for r in decontaminate.report(clash, items).collect()} == {1: 20, 2: 0, 3: 0, 4: 20}
 
 
 # tokens

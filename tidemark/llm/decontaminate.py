@@ -20,10 +20,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.llm import words as W
-from tidemark.llm._shared import Scratch, batches_of, small_batches, table
+from tidemark.llm._shared import Scratch, batches_of, fresh, small_batches, table
 
 #: Words in a window.
 WINDOW = 13
+#: The columns that a report adds, and their types.
+ADDED = ("n_words", "n_hit", "items", "contaminated", "spans")
+KINDS = ("long", "long", "array<string>", "boolean", "array<array<long>>")
 #: A benchmark of more text than this is not broadcast but joined window by window.
 MOST_BROADCAST = 48 << 20
 
@@ -98,18 +101,21 @@ def runs(hit: np.ndarray) -> list[tuple[int, int]]:
     return list(zip(hit[np.r_[0, cut + 1]].tolist(), hit[np.r_[cut, len(hit) - 1]].tolist(), strict=True))
 
 
-def report(docs: DataFrame, benchmark: DataFrame, text: str = "text", length: int = WINDOW) -> DataFrame:
-    """``docs`` with n_words, n_hit, items (sorted item ids found), contaminated, and spans (first and end byte of each hit run)."""
+def report(docs: DataFrame, benchmark: DataFrame, text: str = "text", length: int = WINDOW, into: tuple[str, ...] = ADDED) -> DataFrame:
+    """``docs`` with n_words, n_hit, items (sorted item ids found), contaminated, and spans (first and end byte of each hit run).
+
+    ``into`` gives the five columns other names; columns of these names are replaced.
+    """
+    if text in into:
+        raise ValueError("the text cannot be replaced")
+    docs = docs.drop(*into)
     spark = docs.sparkSession
     small_batches(spark)
     items = benchmark.select(F.col("item_id").cast("string").alias("name"), F.col("text").cast("binary").alias("text")).where("text is not null")
     size = items.agg(F.coalesce(F.sum(F.length("text") + 16), F.lit(0))).first()[0]
-    extra = "n_words long, n_hit long, items array<string>, contaminated boolean, spans array<array<long>>"
-    named = {"n_words", "n_hit", "items", "contaminated", "spans"} & set(docs.columns)
-    if named:
-        raise ValueError(f"columns that this adds are there already: {sorted(named)}")
+    extra = ", ".join(f"`{n}` {kind}" for n, kind in zip(into, KINDS, strict=True))
     if size > MOST_BROADCAST:
-        return _by_join(docs, items, text, length)
+        return _by_join(docs, items, text, length, into)
     held = spark.sparkContext.broadcast([(r.name, bytes(r.text)) for r in items.toLocalIterator()])
     schema = docs.schema
     names = docs.columns
@@ -119,18 +125,17 @@ def report(docs: DataFrame, benchmark: DataFrame, text: str = "text", length: in
         for rows, texts in batches_of(batches, text):
             got = scan(texts, grams)
             n, hit = [x[0] for x in got], [len(x[1]) for x in got]
-            cols = {c: rows.column(c).combine_chunks() for c in names}
-            cols |= {"n_words": pa.array(n, pa.int64()), "n_hit": pa.array(hit, pa.int64())}
-            cols |= {"items": pa.array([names_of(x[2], grams) for x in got], pa.list_(pa.string()))}
-            cols |= {"contaminated": pa.array([h > 0 and 20 * h >= w for h, w in zip(hit, n, strict=True)], pa.bool_())}
-            cols |= {"spans": pa.array([[[int(x[3][a]), int(x[4][b])] for a, b in runs(x[1])] for x in got], pa.list_(pa.list_(pa.int64())))}
-            yield pa.RecordBatch.from_arrays([x.chunk(0) if isinstance(x, pa.ChunkedArray) else x for x in cols.values()], names=list(cols))
+            added = [pa.array(n, pa.int64()), pa.array(hit, pa.int64())]
+            added.append(pa.array([names_of(x[2], grams) for x in got], pa.list_(pa.string())))
+            added.append(pa.array([h > 0 and 20 * h >= w for h, w in zip(hit, n, strict=True)], pa.bool_()))
+            added.append(pa.array([[[int(x[3][a]), int(x[4][b])] for a, b in runs(x[1])] for x in got], pa.list_(pa.list_(pa.int64()))))
+            yield pa.RecordBatch.from_arrays([*(rows.column(c).combine_chunks() for c in names), *added], names=[*names, *into])
 
     wide = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in schema)
     return docs.mapInArrow(run, f"{wide}, {extra}")
 
 
-def _by_join(docs: DataFrame, items: DataFrame, text: str, length: int) -> DataFrame:
+def _by_join(docs: DataFrame, items: DataFrame, text: str, length: int, into: tuple[str, ...]) -> DataFrame:
     """The same for a benchmark beyond the broadcast bound: windows of both sides meet in an equi-join on their hash."""
     scratch = Scratch(docs.sparkSession, "decontaminate")
 
@@ -150,43 +155,46 @@ def _by_join(docs: DataFrame, items: DataFrame, text: str, length: int) -> DataF
 
     grams = scratch.cut(items.mapInArrow(unroll("text", ["name"], None), "name string, h long, k long, n long, said binary").select("name", "h", "n", "said").distinct())
     lengths = [r.n for r in grams.select("n").distinct().collect()]  # at most `length` rows
-    texts = docs.select(F.sha2(F.coalesce(F.col(text).cast("binary"), F.lit(b"")), 256).alias("_key"), F.col(text).alias("_text")).dropDuplicates(["_key"])
+    digest, hits_, found_ = fresh(docs, "key", "hit", "items")
+    sha = F.sha2(F.coalesce(F.col(text).cast("binary"), F.lit(b"")), 256)
+    texts = docs.select(sha.alias("_key"), F.col(text).alias("_text")).dropDuplicates(["_key"])
     seen = texts.mapInArrow(unroll("_text", ["_key"], lengths), "_key string, h long, k long, n long, said binary")
-    hits = scratch.cut(seen.join(grams, ["h", "n", "said"]).select("_key", "k", "n", "name"))
-    hit = hits.select("_key", F.explode(F.sequence(F.col("k"), F.col("k") + F.col("n") - 1)).alias("w")).distinct().groupBy("_key").agg(F.sort_array(F.collect_list("w")).alias("_hit"))
-    found = hits.groupBy("_key").agg(F.sort_array(F.collect_set("name")).alias("items"))
-    named = docs.withColumn("_key", F.sha2(F.coalesce(F.col(text).cast("binary"), F.lit(b"")), 256)).join(hit.join(found, "_key"), "_key", "left")
+    hits = scratch.cut(seen.join(grams, ["h", "n", "said"]).select(F.col("_key").alias(digest), "k", "n", "name"))
+    hit = hits.select(digest, F.explode(F.sequence(F.col("k"), F.col("k") + F.col("n") - 1)).alias("w")).distinct().groupBy(digest).agg(F.sort_array(F.collect_list("w")).alias(hits_))
+    found = hits.groupBy(digest).agg(F.sort_array(F.collect_set("name")).alias(found_))
     names = docs.columns
+    named = docs.withColumn(digest, sha).join(hit.join(found, digest), digest, "left").select(*names, hits_, found_)
 
     def finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows, texts in batches_of(batches, text):
             joined, starts, ends, _, first = W.words(texts, W.ALNUM)
             begin = np.cumsum([0] + [len(x) + 1 for x in texts])
-            some = [np.array(x or [], np.int64) for x in rows.column("_hit").to_pylist()]
+            some = [np.array(x or [], np.int64) for x in rows.column(hits_).to_pylist()]
             n = np.diff(first).tolist()
-            cols = {c: rows.column(c).combine_chunks() for c in names}
-            cols |= {"n_words": pa.array(n, pa.int64()), "n_hit": pa.array([len(x) for x in some], pa.int64())}
-            cols |= {"items": pa.array([x or [] for x in rows.column("items").to_pylist()], pa.list_(pa.string()))}
-            cols |= {"contaminated": pa.array([len(h) > 0 and 20 * len(h) >= w for h, w in zip(some, n, strict=True)], pa.bool_())}
-            cols |= {"spans": pa.array([[[int(starts[first[d] + a] - begin[d]), int(ends[first[d] + b] - begin[d])] for a, b in runs(h)] for d, h in enumerate(some)], pa.list_(pa.list_(pa.int64())))}
-            yield pa.RecordBatch.from_arrays([x.chunk(0) if isinstance(x, pa.ChunkedArray) else x for x in cols.values()], names=list(cols))
+            added = [pa.array(n, pa.int64()), pa.array([len(x) for x in some], pa.int64())]
+            added.append(pa.array([x or [] for x in rows.column(found_).to_pylist()], pa.list_(pa.string())))
+            added.append(pa.array([len(h) > 0 and 20 * len(h) >= w for h, w in zip(some, n, strict=True)], pa.bool_()))
+            added.append(pa.array([[[int(starts[first[d] + a] - begin[d]), int(ends[first[d] + b] - begin[d])] for a, b in runs(h)] for d, h in enumerate(some)], pa.list_(pa.list_(pa.int64()))))
+            yield pa.RecordBatch.from_arrays([*(rows.column(c).combine_chunks() for c in names), *added], names=[*names, *into])
 
     wide = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
-    return named.mapInArrow(finish, f"{wide}, n_words long, n_hit long, items array<string>, contaminated boolean, spans array<array<long>>")
+    return named.mapInArrow(finish, f"{wide}, {', '.join(f'`{n}` {kind}' for n, kind in zip(into, KINDS, strict=True))}")
 
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, text: str = "text", length: int = WINDOW) -> DataFrame:
     """The documents that are not contaminated, with their own columns."""
-    return report(docs, benchmark, text, length).where(~F.col("contaminated")).select(*docs.columns)
+    names = tuple(fresh(docs, *ADDED))
+    return report(docs, benchmark, text, length, names).where(~F.col(names[3])).select(*docs.columns)
 
 
 def cut_spans(docs: DataFrame, benchmark: DataFrame, text: str = "text", length: int = WINDOW) -> DataFrame:
     """All documents, with the hit spans taken out of the text."""
     names, kind = docs.columns, ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
+    into = tuple(fresh(docs, *ADDED))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            spans, values = batch.column("spans").to_pylist(), batch.column(text).to_pylist()
+            spans, values = batch.column(into[4]).to_pylist(), batch.column(text).to_pylist()
             for i, some in enumerate(spans):
                 for a, b in reversed(some or []):
                     data = values[i].encode()
@@ -194,7 +202,7 @@ def cut_spans(docs: DataFrame, benchmark: DataFrame, text: str = "text", length:
             cols = [pa.array(values, batch.column(text).type) if c == text else batch.column(c) for c in names]
             yield pa.RecordBatch.from_arrays(cols, names=names)
 
-    return report(docs, benchmark, text, length).mapInArrow(run, kind)
+    return report(docs, benchmark, text, length, into).mapInArrow(run, kind)
 
 
 def digest(ids: str = "items"):

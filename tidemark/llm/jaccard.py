@@ -37,7 +37,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.llm import words as W
-from tidemark.llm._shared import Scratch, batches_of, small_batches, table
+from tidemark.llm._shared import Scratch, batches_of, fresh, held_small, small_batches, table
 from tidemark.llm.bpe import fields
 from tidemark.llm.components import components
 
@@ -333,28 +333,26 @@ def classes_of(docs: DataFrame, key: str = "doc_id", text: str = "text", shingle
 def keep_one(docs: DataFrame, key: str = "doc_id", text: str = "text", shingle: int = SHINGLE, part: int = PART) -> DataFrame:
     """One document of each component, that with the least key; documents without words all stay."""
     spark, names = docs.sparkSession, docs.columns
-    if "_set_id" in names:
-        raise ValueError("a column has the name of one that this adds")
+    here, who, lost_ = fresh(docs, "set_id", "key", "lost")
     scratch = Scratch(spark, "keep-one")
     told = scratch.cut(classes_of(docs, key, text, shingle, part))
 
     def tag(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows, data in batches_of(batches, text):
             ids = [fingerprint(x, _ONE) if len(x) else None for x in shingle_sets(data, shingle)]
-            yield pa.RecordBatch.from_arrays([*(rows.column(c).combine_chunks() for c in names), pa.array(ids, pa.int64())], names=[*names, "_set_id"])
-
-    tagged = docs.mapInArrow(tag, f"{fields(docs, names)}, _set_id long")
-    in_sets = told.where("set_id is not null").groupBy(key, "set_id", "component_id").agg(F.count("*").alias("rows"))
-    first = in_sets.where(F.col(key).eqNullSafe(F.col("component_id"))).groupBy(F.col("component_id").alias("_c")).agg(F.min("set_id").alias("_s"))
-    ranked = in_sets.join(first, F.col("component_id").eqNullSafe(F.col("_c")))
-    wins = F.col(key).eqNullSafe(F.col("component_id")) & (F.col("set_id") == F.col("_s"))
-    lost = scratch.cut(ranked.where(~wins).select(F.col(key).alias("_key"), F.col("set_id").alias("_lost")))
-    small = F.broadcast(lost) if lost.count() <= MOST_BROADCAST else lost
-    kept = tagged.join(small, (F.col("_set_id") == F.col("_lost")) & F.col(key).eqNullSafe(F.col("_key")), "left_anti")
-    again = scratch.cut(ranked.where(wins & (F.col("rows") > 1)).select(F.col("set_id").alias("_lost")))
+            yield pa.RecordBatch.from_arrays([*(rows.column(c).combine_chunks() for c in names), pa.array(ids, pa.int64())], names=[*names, here])
+
+    tagged = docs.mapInArrow(tag, f"{fields(docs, names)}, `{here}` long")
+    in_sets = told.where("set_id is not null").select(F.col(key).alias("k"), "set_id", "component_id").groupBy("k", "set_id", "component_id").agg(F.count("*").alias("rows"))
+    first = in_sets.where(F.col("k").eqNullSafe(F.col("component_id"))).groupBy(F.col("component_id").alias("c")).agg(F.min("set_id").alias("s"))
+    ranked = in_sets.join(first, F.col("component_id").eqNullSafe(F.col("c")))
+    wins = F.col("k").eqNullSafe(F.col("component_id")) & (F.col("set_id") == F.col("s"))
+    lost = scratch.cut(ranked.where(~wins).select(F.col("k").alias(who), F.col("set_id").alias(lost_)))
+    kept = tagged.join(held_small(lost, 16), (F.col(here) == F.col(lost_)) & F.col(key).eqNullSafe(F.col(who)), "left_anti")
+    again = scratch.cut(ranked.where(wins & (F.col("rows") > 1)).select(F.col("set_id").alias(lost_)))
     if not again.isEmpty():
-        on = F.col("_set_id") == F.col("_lost")
-        kept = kept.join(again, on, "left_anti").unionByName(kept.join(again, on, "left_semi").dropDuplicates(["_set_id"]))
+        on = F.col(here) == F.col(lost_)
+        kept = kept.join(again, on, "left_anti").unionByName(kept.join(again, on, "left_semi").dropDuplicates([here]))
     return kept.select(*names)
 
 
