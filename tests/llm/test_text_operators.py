@@ -10,6 +10,7 @@ import zlib
 import numpy as np
 import pytest
 import tiktoken
+import zstandard
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
@@ -397,6 +398,27 @@ def test_rules_mean_the_same_compiled(spark):
     assert got == pytest.approx((1 / (1 + np.exp(-z))).tolist()) and (((np.array(got) > 0.5) == y).mean()) > 0.97
 
 
+def plain_toxicity(text, model):
+    """The score from the model's dictionaries and weights, by itself."""
+    data, x = text.lower().encode(), []
+    for size in (64, 32):
+        words, windows = data.split(b" "), []
+        while words:
+            w = words.pop(0)
+            while words and len(w) < size:
+                w += b" " + words.pop(0)
+            windows.append(w)
+        if windows and not windows[-1]:
+            windows.pop()  # nothing stands behind the last space
+        how = zstandard.ZstdCompressionParameters.from_level(6, source_size=size, dict_size=len(model["toxic"] + model["ordinary"]), write_content_size=False, write_checksum=False, write_dict_id=False)
+        one, two = (zstandard.ZstdCompressor(compression_params=how, dict_data=zstandard.ZstdCompressionDict(d, dict_type=zstandard.DICT_TYPE_RAWCONTENT)) for d in (model["ordinary"], model["toxic"] + model["ordinary"]))
+        d = sorted([len(one.compress(w)) - len(two.compress(w)) for w in windows] or [0], reverse=True)
+        large = [sum(v >= t for v in d) for t in (2, 4, 6)]
+        x += [sum(d) / len(d), d[0], sum(d[:3]) / min(3, len(d)), np.log(len(d)), *(n / len(d) for n in large), np.log1p(large[1]), np.log1p(large[2])]
+    z = model["weights"][0] + sum(w * v / s for w, v, s in zip(model["weights"][1:], x, model["scale"], strict=True))
+    return 1 / (1 + np.exp(-z))
+
+
 def test_toxicity_is_learnt_and_held_out_rows_are_right(spark):
     rng = random.Random(3)
     syllables = ["an", "the", "er", "on", "ti", "re", "ing", "ed", "st", "ou"]
@@ -409,12 +431,16 @@ def test_toxicity_is_learnt_and_held_out_rows_are_right(spark):
             for _ in range(1 + len(w) // 25):
                 w[rng.randrange(len(w))] = rng.choice(insults)
         rows.append((i, " ".join(w), int(i % 5 == 0)))
-    docs, labels = spark.createDataFrame([r[:2] for r in rows] + [(9000, None), (9001, "")], DOCS), spark.createDataFrame([(r[0], r[2]) for r in rows], "doc_id long, toxic int")
+    docs, labels = spark.createDataFrame([r[:2] for r in rows] + [(9000, None), (9001, ""), (9002, "the er " * 90_000)], DOCS), spark.createDataFrame([(r[0], r[2]) for r in rows], "doc_id long, toxic int")
     model = toxicity.fit(docs, labels)
     assert b"grobnik" in model["toxic"] and b"grobnik" not in model["ordinary"]
-    score = {r.doc_id: r.score for r in toxicity.scored(docs, model).collect()}
+    clash = docs.withColumns({"score": F.lit("s"), "t": F.lit(1), "y": F.lit(2)})
+    score = {r.doc_id: r.score for r in toxicity.scored(clash, model).collect()}
+    for i in (0, 1, 2, 4, 5, 10, 9001):
+        assert score[i] == pytest.approx(plain_toxicity(dict(r[:2] for r in rows).get(i, ""), model))
+    assert toxicity.scored(clash, model).columns == ["doc_id", "text", "t", "y", "score"]
     right = [(score[i] >= 0.5) == bool(y) for i, _, y in rows if not learnt(i)]
-    assert len(score) == 702 and sum(right) / len(right) >= 0.95 and all(0 <= s <= 1 for s in score.values())
+    assert len(score) == 703 and sum(right) / len(right) >= 0.95 and all(0 <= s <= 1 for s in score.values())
     flat = toxicity.scored(docs, toxicity.fit(docs, labels.where("toxic = 0"))).select("score").distinct().collect()
     assert len(flat) == 1 and flat[0].score < 0.1
     assert toxicity.scored(docs.limit(0), toxicity.fit(docs, labels.limit(0))).collect() == []
