@@ -166,6 +166,24 @@ def test_recall_against_brute_force(spark, kind):
     assert all(r.score == np.sqrt(((y[r.vec_id] - y[r.query_id]) ** 2).sum()) for r in got)
 
 
+def test_leaves_visited_follow_the_data():
+    rng = np.random.default_rng(5)
+    n = 20_000
+    x = rng.normal(size=(n // 100, 64))[rng.integers(0, n // 100, n)] + 0.25 * rng.normal(size=(n, 64))
+    forest = ann.Forest(x[:8000], n, 64)
+    forest.calibrate(10)
+    leaves, hits, seen = forest.leaves(x), 0, 0
+    for q, most in zip(x[:40], forest.bounds(x[:40], 10), strict=True):
+        some = np.zeros(n, bool)
+        for t, leaf in forest.search(q, most):
+            some |= leaves[t] == leaf
+        hits += some[np.argsort(((x - q) ** 2).sum(1))[:10]].sum()
+        seen += some.sum()
+    assert hits >= 0.9 * 400 and seen <= 0.05 * 40 * n
+    far = forest.beyond(x[0], leaves[:, :50])
+    assert (far.min(0)[0], bool((far >= 0).all())) == (0.0, True)  # a point lies in its own leaves
+
+
 # pseudonyms
 
 

@@ -2,16 +2,19 @@
 
 Each tree turns the space by a random rotation and halves it at the median of one rotated axis a level; the
 medians come from a bounded sample, every row is put into a leaf of every tree. A query walks all trees
-through one priority queue, ordered by how far it lies beyond the thresholds on the way, and visits the
-nearest ``VISIT`` of all leaves. It is compared with all rows of those leaves, in blocks of
-rows, and only the best few of a block go on; so candidate pairs are never written out. Distances are exact, in double precision.
+through one priority queue, ordered by how far it lies beyond the thresholds on the way, and is compared with all rows of
+the leaves that come up. It stops where the next leaf lies further off than neighbours do: ``reach`` times the
+squared distance of its k-th neighbour in the sample, ``reach`` being such that ``TARGET`` of the neighbours within the sample
+lie in a leaf that is visited. So the share of leaves follows the data: few for vectors that lie in groups, four of ten and more
+for vectors without any structure, for which no leaf is far off (see the README for figures).
 
-``VISIT`` is a share: vectors without any structure need a tenth or more of the leaves of eight trees for a recall of
-0.95 and more, whatever their number (see the tests, which measure it against brute force).
+Rows of neighbouring leaves form blocks; a query goes to the blocks of its leaves only, and a block that many queries
+visit is given out as often as its queries need. Of a block only a query's best few go on; so candidate pairs are never written out.
+Distances are exact, in double precision.
 
 Cases: vectors that are null, zero, of another length than most, or hold null or non-finite components take
 no part; equal vectors are one index entry with its least ids, and one query; ties go to the smaller id; with
-fewer candidates than asked for, all are returned; an empty table gives no rows; null ids take no part.
+fewer candidates than asked for, all are returned; an empty table gives no rows; null ids take no part; further columns play no part.
 """
 
 from __future__ import annotations
@@ -25,13 +28,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tidemark.llm._shared import Scratch, small_batches, table
+from tidemark.llm._shared import Scratch, held_small, small_batches, table
 
-TREES, LEAF, VISIT, SEED = 8, 200, 0.15, 20240229
-#: Rows that thresholds are fitted on, and the fewest of them in a leaf.
-MOST_FIT, LEAST_FIT = 32_768, 8
-#: Rows and queries that are compared in one task at once; a query sends on its best of a block, not of each leaf.
-BLOCK_ROWS, BLOCK_QUERIES = 16_384, 256
+TREES, LEAF, TARGET, SEED = 8, 32, 0.95, 20240229
+#: Rows that thresholds are fitted on, the fewest of them in a leaf, and how many of them stand for queries when ``reach`` is set.
+MOST_FIT, LEAST_FIT, PROBES = 32_768, 4, 256
+#: Rows of a block, about, and queries that are compared with them in one task.
+BLOCK_ROWS, BLOCK_QUERIES = 8_192, 256
 K, EVERY = 10, 100
 
 
@@ -40,6 +43,7 @@ class Forest:
 
     def __init__(self, fit: np.ndarray, rows: int, dimension: int, trees: int = TREES, leaf: int = LEAF, seed: int = SEED):
         rng = np.random.default_rng(seed)
+        self.fit, self.reach = fit, 0.0
         most = int(math.log2(max(1, len(fit) // LEAST_FIT))) if len(fit) else 0
         self.depth = max(0, min(most, dimension, round(math.log2(max(1, rows / leaf)))))
         self.axes = np.stack([np.linalg.qr(rng.standard_normal((dimension, dimension)))[0][:, : self.depth] for _ in range(trees)])
@@ -61,14 +65,46 @@ class Forest:
                 out[t] = 2 * out[t] + (along[:, level] > self.cuts[level][t, out[t]])
         return out
 
-    def search(self, q: np.ndarray, visit: float = VISIT) -> list[tuple[int, int]]:
-        """(tree, leaf) of the nearest leaves, by one queue over all trees."""
+    def beyond(self, q: np.ndarray, leaves: np.ndarray) -> np.ndarray:
+        """How far a point lies beyond the thresholds on the way to one leaf of each tree: (trees, leaves)."""
+        out = np.zeros(leaves.shape)
+        for t, axes in enumerate(self.axes):
+            along = q @ axes
+            for level in range(self.depth):
+                node = leaves[t] >> (self.depth - level)
+                gap = along[level] - self.cuts[level][t, node]
+                out[t] += np.where((gap > 0) != ((leaves[t] >> (self.depth - level - 1)) & 1).astype(bool), gap * gap, 0.0)
+        return out
+
+    def calibrate(self, k: int, target: float = TARGET) -> None:
+        """Set ``reach`` so that ``target`` of the k nearest rows of the sample lie within it."""
+        probes = self.fit[:: max(1, len(self.fit) // PROBES)]
+        leaves, ratios = self.leaves(self.fit), []
+        for q in probes:
+            d = ((self.fit - q) ** 2).sum(1)
+            near = np.argsort(d, kind="stable")[: k + 1]
+            near = near[d[near] > 0][:k]
+            if len(near):
+                ratios.append(self.beyond(q, leaves[:, near]).min(0) / d[near[-1]])
+        self.reach = float(np.quantile(np.concatenate(ratios), target)) if ratios else 0.0
+
+    def bounds(self, q: np.ndarray, k: int) -> np.ndarray:
+        """For each query how far beyond thresholds a leaf may lie to be visited; without k rows in the sample, any."""
+        if len(self.fit) <= k + 1:
+            return np.full(len(q), np.inf)
+        d = (self.fit * self.fit).sum(1)[None] - 2 * q @ self.fit.T + (q * q).sum(1)[:, None]
+        d[d < 1e-9] = np.inf  # the query itself, and what equals it
+        return self.reach * np.partition(d, k - 1, axis=1)[:, k - 1]
+
+    def search(self, q: np.ndarray, most: float) -> list[tuple[int, int]]:
+        """(tree, leaf) of all leaves at most ``most`` beyond the thresholds, nearest first, by one queue over all trees; two a tree at least."""
         trees = len(self.axes)
         along = np.einsum("d,tdk->tk", q, self.axes)
-        want = max(2 * trees, math.ceil(visit * trees * (1 << self.depth)))
         queue, out = [(0.0, t, 0, 0) for t in range(trees)], []
-        while queue and len(out) < want:
+        while queue:
             far, t, level, node = heapq.heappop(queue)
+            if far > most and len(out) >= 2 * trees:
+                break
             while level < self.depth:
                 beyond = along[t, level] - self.cuts[level][t, node]
                 side = int(beyond > 0)
@@ -115,7 +151,7 @@ def nearest_in(ids: np.ndarray, leaf: np.ndarray, x: np.ndarray, q: np.ndarray,
     return out
 
 
-def neighbours(vectors: DataFrame, queries, k: int = K, key: str = "vec_id", vector: str = "embedding", visit: float = VISIT) -> DataFrame:
+def neighbours(vectors: DataFrame, queries, k: int = K, key: str = "vec_id", vector: str = "embedding", target: float = TARGET) -> DataFrame:
     """Rows (query_id, rank, vec_id, score): each query's k nearest found. ``queries`` is a condition on the id column ``id``."""
     spark = vectors.sparkSession
     small_batches(spark)
@@ -126,7 +162,9 @@ def neighbours(vectors: DataFrame, queries, k: int = K, key: str = "vec_id", vec
     rows = rows.where(F.size("v") == dimension)
     fit = rows.orderBy(F.xxhash64("id"), "id").limit(MOST_FIT).select("v").toArrow().column("v").combine_chunks()
     forest = Forest(_matrix(fit, dimension), count, dimension)
-    held = spark.sparkContext.broadcast(forest)  # trees * (dimension * depth + leaves) numbers, bounded by MOST_FIT
+    forest.calibrate(k, target)
+    held = spark.sparkContext.broadcast(forest)  # the sample and trees * (dimension * depth + leaves) numbers, bounded by MOST_FIT
+    wide = max(0, round(math.log2(max(1, BLOCK_ROWS * (1 << forest.depth) / max(1, count)))))  # bits of a leaf within its block
     # One more than k of each equal vector: a query leaves itself out.
     firsts = rows.withColumn("n", F.row_number().over(Window.partitionBy("v").orderBy("id"))).where(F.col("n") <= k + 1).drop("n")
     asked = rows.where(queries)
@@ -136,27 +174,25 @@ def neighbours(vectors: DataFrame, queries, k: int = K, key: str = "vec_id", vec
         for b in batches:
             leaf = held.value.leaves(_matrix(b.column("v"), dimension))
             for t in range(len(leaf)):
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(b.num_rows, t, np.int32)), pa.array(leaf[t]), b.column("id"), b.column("v")], names=["tree", "leaf", "id", "v"])
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(b.num_rows, t, np.int32)), pa.array(leaf[t] >> wide), pa.array(leaf[t]), b.column("id"), b.column("v")], names=["tree", "block", "leaf", "id", "v"])
 
     def visits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        trees = len(held.value.axes)
         for b in batches:
-            leaves = []
-            for q in _matrix(b.column("v"), dimension):
-                by_tree: list[list[int]] = [[] for _ in range(trees)]
-                for t, leaf in held.value.search(q, visit):
-                    by_tree[t].append(leaf)
-                leaves.append(by_tree)
-            for t in range(trees):
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(b.num_rows, t, np.int32)), b.column("id"), b.column("v"), pa.array([x[t] for x in leaves], pa.list_(pa.int64()))], names=["tree", "id", "v", "leaves"])
-
-    index = scratch.cut(firsts.select("id", "v").mapInArrow(place, "tree int, leaf long, id long, v array<double>"))
-    wanted = scratch.cut(alike.select("id", "v").mapInArrow(visits, "tree int, id long, v array<double>, leaves array<long>"))
-    n_rows, n_queries = (max(1, -(-f.where("tree = 0").count() // n)) for f, n in ((index, BLOCK_ROWS), (wanted, BLOCK_QUERIES)))
-    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
-    left = index.withColumn("a", F.pmod(F.xxhash64("id"), F.lit(n_rows)).cast("int")).withColumn("b", every(n_queries))
-    right = wanted.where(F.size("leaves") > 0).withColumn("b", F.pmod(F.xxhash64("id"), F.lit(n_queries)).cast("int")).withColumn("a", every(n_rows))
-    block = ["tree", "a", "b"]
+            x = _matrix(b.column("v"), dimension)
+            for i, (q, most) in enumerate(zip(x, held.value.bounds(x, k), strict=True)):
+                by_block: dict[tuple[int, int], list[int]] = {}
+                for t, leaf in held.value.search(q, most):
+                    by_block.setdefault((t, leaf >> wide), []).append(leaf)
+                n = len(by_block)
+                yield pa.RecordBatch.from_arrays([pa.array([t for t, _ in by_block], pa.int32()), pa.array([at for _, at in by_block], pa.int64()), pa.array([b.column("id")[i].as_py()] * n, pa.int64()), b.column("v").take(pa.array([i] * n, pa.int64())), pa.array(list(by_block.values()), pa.list_(pa.int64()))], names=["tree", "block", "id", "v", "leaves"])
+
+    index = scratch.cut(firsts.select("id", "v").mapInArrow(place, "tree int, block long, leaf long, id long, v array<double>"))
+    wanted = scratch.cut(alike.select("id", "v").mapInArrow(visits, "tree int, block long, id long, v array<double>, leaves array<long>"))
+    asks = scratch.cut(wanted.groupBy("tree", "block").agg(F.ceil(F.count("*") / BLOCK_QUERIES).cast("int").alias("parts")))
+    asks = held_small(asks, 16)
+    block = ["tree", "block", "part"]
+    left = index.join(asks, ["tree", "block"]).withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    right = wanted.join(asks, ["tree", "block"]).withColumn("part", F.pmod(F.xxhash64("id"), F.col("parts")).cast("int"))
 
     def compare(mine: pa.Table, theirs: pa.Table) -> pa.Table:
         if not mine.num_rows or not theirs.num_rows:
