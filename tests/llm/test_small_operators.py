@@ -1,7 +1,9 @@
 """Sharding, fixity, components, nearest neighbours and pseudonyms against plain Python."""
 
+import datetime as dt
 import hashlib
 import random
+import re
 import zlib
 
 import numpy as np
@@ -79,6 +81,22 @@ def test_an_audit_finds_missing_and_extra_records(spark):
     assert warc.audit(whole.limit(0), whole.limit(0)).collect() == []
 
 
+def test_a_worn_replica_has_its_own_offsets(spark, monkeypatch):
+    monkeypatch.setattr(warc, "ARCHIVE", 16)
+    rows = [(i, f"u{i}", "<p>é" + "x" * (i % 9)) for i in range(300)] + [(None, None, None), (300, "", ""), (262, "again", "<q>")]
+    sound, worn = warc.replicas(spark.createDataFrame(rows, "page_id long, url string, html string"))
+    found = {(r.page_id, r.url): r for r in warc.audit(sound, worn).collect()}
+    hit = {(p, u): p % 251 for p, u, _ in rows if p is not None and p % 251 in (7, 11, 13, 17)}
+    assert {k: (r.status, r.found_length >= 0 and r.length - r.found_length) for k, r in found.items()} == {k: {7: ("changed", 0), 11: ("changed", 1), 13: ("missing", False), 17: ("extra", 0)}[m] for k, m in hit.items()}
+    at = {}
+    for r in sorted(worn.collect(), key=lambda r: r.record_no):
+        assert r.archive == r.record_no // 16 and r.offset == at.get(r.archive, 0)
+        at[r.archive] = r.offset + r.length
+        if (r.page_id, r.url) in found and found[r.page_id, r.url].status == "changed":
+            assert found[r.page_id, r.url].found_offset == r.offset
+    assert min(r.record_no for r in found.values() if r.status == "extra") == len(rows)
+
+
 def test_archives_and_offsets(spark, monkeypatch):
     monkeypatch.setattr(warc, "ARCHIVE", 16)
     rows = warc.layout(spark.createDataFrame([(f"{i:03x}" + "0" * 61, 10 + i % 3, i) for i in range(50)], "digest string, length long, page_id long")).collect()
@@ -200,9 +218,104 @@ def card(rng):
     return next(head + c for c in "0123456789" if luhn(head + c))
 
 
-def said(spark, texts, **more):
+def said(spark, texts, key="k"):
     rows = spark.createDataFrame(list(enumerate(texts)), DOCS)
-    return {r.doc_id: (r.text, [(x.kind, x.said) for x in r._found]) for r in pii.pseudonymise(rows, **more).collect()}
+    return {r.doc_id: (r.text, [(x.kind, x.said) for x in r._found]) for r in pii.pseudonymise(rows, key).collect()}
+
+
+def plain_network(codes, sizes, key, kind):
+    n = len(codes) // 2
+    a, b, p, q = codes[:n], codes[n:], sizes[:n], sizes[n:]
+    for r in range(8):
+        said = ",".join(map(str, b))
+        f = "".join(hashlib.sha256(f"{key}|{kind}|{r}{mark}|{said}".encode()).hexdigest() for mark in ("", "+"))
+        a, b, p, q = b, [(x + int(f[4 * (i % 32) : 4 * (i % 32) + 4], 16)) % p[i] for i, x in enumerate(a)], q, p
+    return a + b
+
+
+def plain_permuted(value, key, kind, lo=0, hi=None):
+    at = [i for i, c in enumerate(value) if lo <= i < (len(value) if hi is None else hi) and c.isascii() and c.isalnum()]
+    if not at:
+        return value
+    zero = lambda c: 48 if c.isdigit() else 65 if c.isupper() else 97
+    new = plain_network([ord(value[i]) - zero(value[i]) for i in at], [10 if value[i].isdigit() else 26 for i in at], key, kind)
+    out = list(value)
+    for i, c in zip(at, new, strict=True):
+        out[i] = chr(c + zero(value[i]))
+    return "".join(out)
+
+
+def plain_walk(value, valid, key, kind, lo=0):
+    value = plain_permuted(value, key, kind, lo)
+    while not valid(value):
+        value = plain_permuted(value, key, kind, lo)
+    return value
+
+
+def mod97(x):
+    return int("".join(str(int(c, 36)) for c in x[4:] + x[:4])) % 97
+
+
+def plain_pseudonym(kind, v, key):
+    """The pseudonym of a found value, or None if it fails its check."""
+    digits = "".join(c for c in v if c.isdigit())
+    first = dt.date(1900, 1, 1)
+    if kind == "email":
+        return plain_permuted(v, key, kind, hi=v.index("@"))
+    if kind == "iban":
+        new = plain_permuted(v, key, kind, lo=4)
+        return f"{new[:2]}{98 - mod97(new[:2] + '00' + new[4:]):02}{new[4:]}" if mod97(v) == 1 else None
+    if kind == "ipv4":
+        parts = [int(x) for x in v.split(".")]
+        return ".".join(map(str, plain_network(parts, [256] * 4, key, kind))) if max(parts) <= 255 else None
+    if kind == "phone":
+        ok = lambda x: re.search(r"[2-9]\d\d[2-9]\d{6}$", re.sub(r"\D", "", x)) is not None
+        return plain_walk(v, ok, key, kind, lo=re.search(r"[(]?\d{3}[)]?[ .-]\d{3}[ .-]\d{4}$", v).start()) if ok(v) else None
+    if kind == "day":
+        form = "%Y-%m-%d" if "-" in v else "%m/%d/%Y" if "/" in v else "%d.%m.%Y"
+        try:
+            n = (dt.datetime.strptime(v, form).date() - first).days
+        except ValueError:
+            return None
+        new = plain_walk(f"{n:05}", lambda x: int(x) < 73049, key, kind)
+        return (first + dt.timedelta(days=int(new))).strftime(form)
+    if kind == "ssn":
+        ok = lambda x: re.fullmatch(r"(?!000|666|9)\d{3}-(?!00)\d{2}-(?!0000)\d{4}", x) is not None
+        return plain_walk(v, ok, key, kind) if ok(v) else None
+    new = plain_permuted(v, key, kind, hi=len(v) - 1)
+    return next(new[:-1] + c for c in "0123456789" if luhn([*(x for x in new[:-1] if x.isdigit()), c])) if luhn(digits) else None
+
+
+def test_all_values_against_plain_python(spark):
+    rng = random.Random(21)
+    d = lambda n: "".join(rng.choice("0123456789") for _ in range(n))
+    c = card(rng)
+    makers = [lambda: f"{rng.choice('abXY')}{d(2)}.q-{rng.choice('klm')}@mail{d(1)}.example.org", lambda: "DE89370400440532013000", lambda: "GB82WEST12345698765432", lambda: f"DE{d(20)}", lambda: f"{rng.randrange(300)}.{rng.randrange(256)}.0.{rng.randrange(256)}", lambda: f"+1 ({rng.randrange(200, 1000)}) {rng.randrange(100, 1000)}-{d(4)}", lambda: f"{rng.randrange(200, 1000)}.{rng.randrange(200, 1000)}.{d(4)}", lambda: f"{rng.randrange(1900, 2100)}-{rng.randrange(1, 14):02}-{rng.randrange(1, 32):02}", lambda: f"{rng.randrange(1, 32):02}.{rng.randrange(1, 13):02}.19{d(2)}", lambda: f"{rng.randrange(1, 13):02}/{rng.randrange(1, 32):02}/20{d(2)}", lambda: f"{d(3)}-{d(2)}-{d(4)}", lambda: card(rng), lambda: f"{c[:4]} {c[4:8]}-{c[8:12]} {c[12:]}", lambda: d(16)]
+    texts = [" ; ".join([rng.choice(makers)() for _ in range(rng.randrange(1, 5))] + [rng.choice(["", "é word", "no 5"])]) for _ in range(150)] + [None, "", "x" * 50_000 + " a@b.cd " + "9" * 3000]
+    whole = re.compile("|".join(pii.FORMATS.values()))
+    every = list(pii.FORMATS.items())
+    want = {}
+    for i, t in enumerate(texts):
+        found = []
+
+        def new(m):
+            kind = next(k for k, p in every if (n := re.compile(p).match(m.string, m.start())) and n.end() == m.end())  # noqa: B023
+            value = plain_pseudonym(kind, m.group(), "secret")
+            found.extend([(kind, value)] if value is not None else [])  # noqa: B023
+            return m.group() if value is None else value
+
+        want[i] = (None if t is None else whole.sub(new, t), found)
+    got = said(spark, texts, "secret")
+    assert got == want and {k for _, f in want.values() for k, _ in f} == set(pii.FORMATS)
+
+
+def test_a_key_is_needed_and_names_may_clash(spark):
+    rows = spark.createDataFrame([(1, "on 2024-02-29", 3, "q", "r")], "doc_id long, text string, _values int, _parts string, _found string")
+    with pytest.raises(ValueError):
+        pii.pseudonymise(rows, "")
+    out = pii.pseudonymise(rows, "k")
+    assert out.columns == ["doc_id", "text", "_values", "_parts", "_found"] and [(r._values, r._parts, len(r._found)) for r in out.collect()] == [(3, "q", 1)]
+    assert pii.pseudonymise(rows.limit(0), "k").collect() == []
 
 
 def test_values_keep_their_format_and_their_checks(spark):
@@ -212,12 +325,8 @@ def test_values_keep_their_format_and_their_checks(spark):
     new = [got[i][0] for i in range(40)]
     assert all(luhn(x) and len(x) == 16 for x in new) and len(set(new)) == 40 and not set(new) & set(cards)
     days = [f"{rng.randrange(1900, 2100)}-{rng.randrange(1, 13):02}-{rng.randrange(1, 29):02}" for _ in range(40)]
-    import datetime as dt
-
     assert all(dt.date.fromisoformat(x[0]) for x in said(spark, days).values())
     phones = [f"+1 ({rng.randrange(200, 1000)}) {rng.randrange(200, 1000)}-{rng.randrange(10000):04}" for _ in range(40)]
-    import re
-
     assert all(re.fullmatch(r"\+1 \([2-9]\d\d\) [2-9]\d\d-\d{4}", x[0]) for x in said(spark, phones).values())
 
 

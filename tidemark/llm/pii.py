@@ -19,10 +19,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm._shared import table
+from tidemark.llm._shared import fresh, table
 
-#: The key of the registered query. Whoever publishes texts passes a secret one.
-KEY = "tidemark"
+#: The setting that holds the key of the registered query, and the key that it takes where none is set, on these invented texts.
+#: Whoever knows the key can undo the pseudonyms, so :func:`pseudonymise` has no default.
+KEY_SETTING, OPEN_KEY = "spark.tidemark.pseudonym.key", "an open key for test tables"
 ROUNDS, WALKS = 8, 64
 FIRST_DAY, DAYS = "1900-01-01", 73049
 
@@ -143,24 +144,29 @@ def _kind(value: str) -> str:
     return "case " + " ".join(f"when {value} rlike {_text('^(?:' + p + ')$')} then '{k}'" for k, p in plain.items()) + " end"
 
 
-def pseudonymise(docs: DataFrame, key: str = KEY, text: str = "text") -> DataFrame:
-    """``docs`` with valid values in ``text`` replaced, and _found: (kind, pseudonym) of each in order."""
-    if {"_found", "_parts", "_values"} & set(docs.columns):
-        raise ValueError("a column has the name of one that this adds")
+def pseudonymise(docs: DataFrame, key: str, text: str = "text", into: str = "_found") -> DataFrame:
+    """``docs`` with valid values in ``text`` replaced, and ``into``: (kind, pseudonym) of each in order; a column of that name is replaced."""
+    if not key:
+        raise ValueError("a key is needed")
+    if text == into:
+        raise ValueError("the text cannot be replaced")
+    docs = docs.drop(into)
     some = F.col(text).rlike("[0-9@]")
-    met = docs.withColumn("_values", F.when(some, F.regexp_extract_all(text, F.lit(PATTERN), F.lit(0))))
+    values, found, parts = fresh(docs, "values", "found", "parts")
+    met = docs.withColumn(values, F.when(some, F.regexp_extract_all(text, F.lit(PATTERN), F.lit(0))))
     each = " ".join(f"when d = '{k}' and {valid_of(k, 'e')} then named_struct('kind', d, 'said', {pseudonym_of(k, 'e', key)})" for k in FORMATS)
     every = f"case {each} else named_struct('kind', cast(null as string), 'said', e) end"
-    new = f"transform(_values, e -> {_bind(_kind('e'), 'd', every)})"
-    named = met.withColumn("_found", F.when(F.size("_values") > 0, F.expr(new)))
-    split = named.withColumn("_parts", F.when(F.size("_values") > 0, F.split(text, PATTERN, -1)))
-    joined = F.expr("array_join(transform(_parts, (x, i) -> concat(x, case when i < size(_found) then element_at(_found, i + 1).said else '' end)), '')")
-    changed = F.when(F.col("_parts").isNotNull(), joined).otherwise(F.col(text)).alias(text)
+    new = f"transform({values}, e -> {_bind(_kind('e'), 'd', every)})"
+    named = met.withColumn(found, F.when(F.size(values) > 0, F.expr(new)))
+    split = named.withColumn(parts, F.when(F.size(values) > 0, F.split(text, PATTERN, -1)))
+    joined = F.expr(f"array_join(transform({parts}, (x, i) -> concat(x, case when i < size({found}) then element_at({found}, i + 1).said else '' end)), '')")
+    changed = F.when(F.col(parts).isNotNull(), joined).otherwise(F.col(text)).alias(text)
     names = [changed if c == text else F.col(c) for c in docs.columns]
-    return split.select(*names, F.expr("coalesce(filter(_found, x -> x.kind is not null), array())").alias("_found"))
+    return split.select(*names, F.expr(f"coalesce(filter({found}, x -> x.kind is not null), array())").alias(into))
 
 
 def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document with its pseudonymised text, how many values it held, and their kinds."""
-    out = pseudonymise(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    key = spark.conf.get(KEY_SETTING, OPEN_KEY)
+    out = pseudonymise(table(spark, sf_dir, "documents").select("doc_id", "text"), key)
     return out.select("doc_id", "text", F.size("_found").cast("long").alias("n_found"), F.array_join(F.expr("transform(_found, x -> x.kind)"), ",").alias("kinds"))
