@@ -63,7 +63,8 @@ def shared_folder(spark: SparkSession) -> str:
 class Scratch:
     """Intermediate tables of one operator run, kept as Parquet in the shared folder.
 
-    Writing cuts lineage: a lost executor costs the tasks it ran, not the steps before.
+    Writing cuts lineage: a lost executor costs the tasks it ran, not the steps before. The folder goes when the
+    driver's JVM ends; results that are to outlive it must be written elsewhere before.
     """
 
     def __init__(self, spark: SparkSession, name: str):
@@ -76,6 +77,9 @@ class Scratch:
         self.n += 1
         where = f"{self.path}/{self.n}"
         frame.write.parquet(where)
+        if self.n == 1:
+            path = self.spark._jvm.org.apache.hadoop.fs.Path(self.path)
+            path.getFileSystem(self.spark._jsc.hadoopConfiguration()).deleteOnExit(path)
         out = self.spark.read.schema(frame.schema).parquet(where)
         out._tidemark_at = where
         return out
