@@ -8,10 +8,10 @@ from functools import partial
 from pyspark.sql import DataFrame, SparkSession
 
 from tidemark.operators import features
-from tidemark.plans import feature_queries, metric_queries, pit_queries
+from tidemark.plans import feature_queries, metric_queries, pit_queries, source_queries
 from tidemark.plans.views import Views
 
-MODULES = [pit_queries, feature_queries, metric_queries]
+MODULES = [pit_queries, feature_queries, metric_queries, source_queries]
 
 
 def _run(query: Callable[[Views], DataFrame], spark: SparkSession, sf_dir: str) -> DataFrame:

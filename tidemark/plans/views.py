@@ -6,8 +6,12 @@ goods have shipped, so later shipments restate earlier figures. The same SQL tex
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
 
+from tidemark import folders
+
 
 def _sum(what: str, when: str | None = None) -> str:
     return f"CAST(sum({what if when is None else f'CASE WHEN {when} THEN {what} END'}) AS DOUBLE) / 100e0"
@@ -89,6 +93,16 @@ class Views:
 
     def __init__(self, spark: SparkSession, sf_dir: str):
         self.spark, self.sf_dir = spark, sf_dir
+        self._held: dict[str, DataFrame] = {}
+
+    def _once(self, name: str, make: Callable[[], DataFrame]) -> DataFrame:
+        """A derived table, made once and read from the shared folder from then on: queries use it many times over."""
+        if name not in self._held:
+            where = f"{folders.passing_folder(self.spark, 'views')}/{name}"
+            frame = make()
+            frame.write.parquet(where)
+            self._held[name] = self.spark.read.schema(frame.schema).parquet(where)
+        return self._held[name]
 
     def table(self, name: str) -> DataFrame:
         return self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet")
@@ -104,26 +118,35 @@ class Views:
         """Versions as reported, without fourth quarters."""
         return self._sql(_versions(fields), dated=self._dated())
 
+    def reported_income(self) -> DataFrame:
+        return self._once("reported_income", lambda: self.reported(INCOME))
+
     def income(self) -> DataFrame:
         from tidemark.operators.normalize import fourth_quarters
 
-        base = self.reported(INCOME)
-        return base.unionByName(fourth_quarters(base))
+        def whole() -> DataFrame:
+            base = self.reported_income()
+            return base.unionByName(fourth_quarters(base))
+
+        return self._once("income", whole)
 
     def balance(self) -> DataFrame:
-        return self.reported(BALANCE)
+        return self._once("balance", lambda: self.reported(BALANCE))
 
     def cash(self) -> DataFrame:
         from tidemark.operators.normalize import fourth_quarters
 
-        base = self.reported(CASH)
-        return base.unionByName(fourth_quarters(base))
+        def whole() -> DataFrame:
+            base = self._once("reported_cash", lambda: self.reported(CASH))
+            return base.unionByName(fourth_quarters(base))
+
+        return self._once("cash", whole)
 
     def securities(self) -> DataFrame:
         return self._sql(SECURITIES, nation=self.table("nation"), region=self.table("region"))
 
     def prices(self) -> DataFrame:
-        return self._sql(PRICES, events=self.table("events"))
+        return self._once("prices", lambda: self._sql(PRICES, events=self.table("events")))
 
     def raw_estimates(self) -> DataFrame:
         return self._sql(RAW_ESTIMATES, events=self.table("events"))

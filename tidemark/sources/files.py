@@ -15,10 +15,10 @@ FORMS = ("10-K", "10-K/A", "10-Q", "10-Q/A")
 QUOTES = "Date date, `Adj Close` double, Close double, High double, Low double, Open double, Volume long"
 
 
-def facts(spark: SparkSession, path: str, security_id: str | None = None) -> DataFrame:
+def facts(spark: SparkSession, path: str, security_id: str | None = None, since: dt.date | None = None) -> DataFrame:
     """The facts of company files: one row an entry; without a known end, filing date and value an entry is passed over.
 
-    ``security_id`` names the security; without it, the zero-padded cik does.
+    ``security_id`` names the security; without it, the zero-padded cik does. ``since`` keeps what was filed on that day or later.
     """
     raw = spark.read.schema(FACTS).option("multiLine", True).json(path)
     who = F.lit(security_id) if security_id else F.lpad(F.col("cik").cast("string"), 10, "0")
@@ -27,7 +27,13 @@ def facts(spark: SparkSession, path: str, security_id: str | None = None) -> Dat
     entries = units.select("security_id", "concept", F.col("u.key").alias("unit"), F.explode("u.value").alias("e"))
     day = lambda c: F.expr(f"try_to_date(e.{c}, 'yyyy-MM-dd')")
     rows = entries.select("security_id", "concept", day("start").alias("start"), day("end").alias("end"), day("filed").alias("filed"), F.coalesce("e.fy", F.lit(0)).alias("fy"), F.col("e.fp").alias("fp"), F.col("e.form").alias("form"), F.col("e.val").alias("value"), "unit")
-    return rows.where("`end` is not null and filed is not null and value is not null and form is not null")
+    kept = rows.where("`end` is not null and filed is not null and value is not null and form is not null")
+    return kept if since is None else filed_since(kept, since)
+
+
+def filed_since(rows: DataFrame, since: dt.date) -> DataFrame:
+    """Facts filed on a day or later."""
+    return rows.where(F.col("filed") >= F.lit(since))
 
 
 def filings(spark: SparkSession, path: str) -> DataFrame:
@@ -57,6 +63,11 @@ def info(spark: SparkSession, path: str, cik: str) -> DataFrame:
     return raw.select(F.lit(cik).alias("cik"), "sector", "industry", "country", "exchange")
 
 
+def of_symbols(securities: DataFrame, symbols: list[str]) -> DataFrame:
+    """The securities with one of the given symbols, by an IN-list that reaches the scan; none without symbols."""
+    return securities.where(F.col("symbol").isin(list(symbols)))
+
+
 def tickers(spark: SparkSession, path: str) -> DataFrame:
     """(symbol, cik) of lines `TICKER,CIK`; blank lines and those that begin with # are passed over."""
     lines = spark.read.text(path).select(F.trim("value").alias("v")).where("v <> '' and v not like '#%'")

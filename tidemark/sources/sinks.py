@@ -3,13 +3,19 @@
 from __future__ import annotations
 
 import json
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tidemark import folders
 from tidemark.schema import KEYS, TABLES, assert_unique, check_table, empty, no_nan
 
 
+#: Rows of a report, which is put together on the driver.
+MOST_REPORTED = 10_000
+
+
 class Warehouse:
     """The six tables as Parquet under a path; appends are checked for columns and keys."""
 
@@ -34,23 +40,27 @@ class Warehouse:
         if unknown:
             raise ValueError(f"unknown columns: {sorted(unknown)}")
         shaped = no_nan(rows.select(*[(F.col(f.name) if f.name in rows.columns else F.lit(None)).cast(f.dataType).alias(f.name) for f in schema]))
-        n = shaped.count()
-        if not n:
-            return 0
-        keys = KEYS[name]
-        assert_unique(shaped, keys)
-        if not shaped.join(self.read(name).select(*keys), keys, "left_semi").isEmpty():
-            raise ValueError(f"a key of {name} is there already")
-        shaped.write.mode("append").parquet(f"{self.path}/{name}")
-        return n
+        staged = f"{self.path}/_staged-{uuid.uuid4().hex}"  # computed once, whatever the rows come from
+        try:
+            shaped.write.parquet(staged)
+            ready = self.spark.read.schema(schema).parquet(staged)
+            n, keys = ready.count(), KEYS[name]
+            if n:
+                assert_unique(ready, keys)
+                if not ready.join(self.read(name).select(*keys), keys, "left_semi").isEmpty():
+                    raise ValueError(f"a key of {name} is there already")
+                ready.write.mode("append").parquet(f"{self.path}/{name}")
+            return n
+        finally:
+            folders.remove(self.spark, staged)
 
     def replace(self, name: str, rows: DataFrame) -> None:
-        """Write a table anew, from rows that may read it."""
+        """Write a table anew, from rows that may read it; the old one is whole until the new one takes its place."""
         schema = TABLES[check_table(name)]
         shaped = rows.select(*[F.col(f.name).cast(f.dataType) for f in schema])
-        assert_unique(shaped, KEYS[name])
         shaped.write.mode("overwrite").parquet(f"{self.path}/{name}.new")
-        self.spark.read.parquet(f"{self.path}/{name}.new").write.mode("overwrite").parquet(f"{self.path}/{name}")
+        assert_unique(self.spark.read.schema(schema).parquet(f"{self.path}/{name}.new"), KEYS[name])
+        folders.swap(self.spark, f"{self.path}/{name}.new", f"{self.path}/{name}")
 
 
 def write_matrix(matrix: DataFrame, path: str) -> None:
@@ -71,8 +81,11 @@ def write_predictions(rows: DataFrame, folder: str, run: str) -> str:
 
 
 def write_report(rows: DataFrame, path: str, **more) -> dict:
-    """A small result as JSON; returns what was written."""
-    report = more | {"rows": [r.asDict(recursive=True) for r in rows.limit(10_000).collect()]}
+    """A result of MOST_REPORTED rows at most as JSON, more are an error; returns what was written."""
+    few = rows.limit(MOST_REPORTED + 1).collect()
+    if len(few) > MOST_REPORTED:
+        raise ValueError(f"a report has {MOST_REPORTED} rows at most; write a table instead")
+    report = more | {"rows": [r.asDict(recursive=True) for r in few]}
     with open(path, "w") as out:
         json.dump(report, out, indent=1, sort_keys=True, default=str)
     return report
