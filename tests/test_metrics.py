@@ -96,3 +96,29 @@ def test_scoreboard_has_all_models(spark):
     rows = spark.createDataFrame([(10.0, 9.0, 11.0, 9.0), (20.0, 18.0, None, 18.0)], "target_value double, naive_baseline double, a double, b double")
     got = {r.model: r for r in metrics.scoreboard(rows, {"A": "a", "B": "b"}, []).collect()}
     assert got["A"].coverage == 0.5 and got["B"].directional_accuracy == 0.0 and math.isclose(got["B"].mape, 0.1)
+
+
+def test_quantile_metrics_leave_out_what_is_not_finite(spark):
+    nan, q = float("nan"), [0.5, 1.0, 1.5]
+    rows = [(1.0, q), (2.0, q), (nan, q), (None, q), (1.0, [0.5, nan, 1.5]), (1.0, [0.5, float("inf"), 1.5]), (1.0, [None, 1.0, 1.5])]
+    frame = spark.createDataFrame(rows, "actual double, quantiles array<double>")
+    levels = (0.25, 0.5, 0.75)
+    want = np.mean([[(t - (a < x)) * (x - a) for t, x in zip(levels, q, strict=True)] for a in (1.0, 2.0)])
+    assert metrics.crps(frame, [], levels=levels).first().crps == pytest.approx(want)
+    assert {r.level: r.observed for r in metrics.calibration(frame, [], levels=levels).collect()} == {0.25: 0.0, 0.5: 0.5, 0.75: 0.5}
+
+
+def test_correlations_of_pairs_and_of_lags(spark):
+    rng = np.random.default_rng(2)
+    x = rng.normal(size=(40, 3))
+    x[:, 2] += x[:, 0]
+    rows = spark.createDataFrame([tuple(map(float, r)) for r in x] + [(1.0, float("nan"), 2.0), (1.0, None, 2.0)], "a double, b double, c double")
+    got = {(r.one, r.other): r.correlation for r in metrics.correlation_matrix(rows, ["a", "b", "c"]).collect()}
+    c = np.corrcoef(x.T)
+    assert got == pytest.approx({("a", "b"): c[0, 1], ("a", "c"): c[0, 2], ("b", "c"): c[1, 2]})
+    panel = spark.createDataFrame([("s", 2000 + i, float(v)) for i, v in enumerate([1, 2, 4, -2, 5])] + [("t", 2000, 1.0), ("t", 2001, 3.0)], "symbol string, fiscal_year int, value double")
+    pairs = metrics.lagged_pairs(panel)
+    assert sorted(r.change for r in pairs.collect()) == pytest.approx([-1.5, 1.0, 1.0, 2.0, 3.5])
+    told = {r.symbol: (r.n, r.correlation) for r in metrics.lag_correlations(pairs).collect()}
+    assert told["s"] == (4, pytest.approx(np.corrcoef([1, 2, 4, -2], [2, 4, -2, 5])[0, 1])) and told["t"] == (1, None)
+    assert metrics.change_summary(pairs).first().p50 == pytest.approx(1.0)

@@ -23,7 +23,7 @@ def test_simplex_projections():
     assert models.project_simplex(np.array([2.0, 0.0])) == pytest.approx([1.0, 0.0])
     assert models.project_simplex(np.array([1.0, 1.0]), 0.0) == pytest.approx([0.0, 0.0])
     assert models.project_floored(np.array([1.0, 0.0, 0.0]), np.array([0.0, 0.0, 0.3])) == pytest.approx([0.7, 0.0, 0.3])
-    assert models.project_floored(np.array([1.0, 0.0]), np.array([2.0, 2.0])) == pytest.approx([0.5, 0.5])
+    assert models.project_floored(np.array([1.0, 0.0]), np.array([2.0, 2.0])) == pytest.approx([1.0, 0.0])  # floors that cannot be met are left aside
 
 
 def test_a_floor_shifts_the_optimum_and_does_not_clip_it(spark):
@@ -144,6 +144,43 @@ def test_the_scoreboard_has_seven_models(result):
     assert backtest.cluster_gain(result, result) == 0.0
 
 
+def test_a_kept_backtest_is_not_computed_again(spark, world, result, tmp_path, monkeypatch):
+    config = backtest.Config(start_year=2018, end_year=2019, grid="fiscal_year_end", rounds=2, features=("revenue_ttm", "net_margin", "return_on_equity"))
+    cache = runs.Cache(spark, str(tmp_path / "cache"))
+    first = backtest.run(spark, config, world, models.LastValue(), str(tmp_path), cache)
+    told = lambda r: {(x.fold_idx, x.security_id, x.as_of_date): tuple(None if v is None else round(v, 9) for v in (x.lgbm_pred, x.tirex_pred, x.naive_baseline, x.ensemble_pred)) for x in r.rows.collect()}
+    assert told(first) == told(result)
+    assert [d["cache_hits"] for d in first.diagnostics if d.get("written")] == [0] * sum(bool(d.get("written")) for d in first.diagnostics)
+    fits = []
+    fit = models.Tabular.fit
+    monkeypatch.setattr(models.Tabular, "fit", lambda self, *a: fits.append(1) or fit(self, *a))
+    again = backtest.run(spark, config, world, models.LastValue(), str(tmp_path), cache)
+    assert not fits and told(again) == told(first)
+    assert all(d["cache_hits"] == d["cache_total"] == 4 * d["n_test"] for d in again.diagnostics if d.get("written"))
+    assert again.rows.where("ensemble_source <> 'cache_hit' or ar1_pred is not null or not rw_pred <=> naive_baseline").isEmpty()
+    other = backtest.Config(**{**backtest.asdict(config), "rounds": 1})
+    prints = runs.fingerprints(world, world["securities"], "LastValue")
+    n, hits, _ = backtest.from_cache(first.rows.limit(5), other, prints, cache)
+    assert (n > 0, hits) == (True, 0)  # another configuration has other keys
+
+
+def test_gates_horizons_and_symbols(spark, result):
+    assert backtest.win_gate(result, result) == (0.0, "DEFERRED") and backtest.win_gate(result, result, 0.01) == (0.0, "FAIL")
+    days = sorted(r.horizon_days for r in result.rows.select("horizon_days").collect())
+    got = result.horizons().first()
+    assert (got.n, got.least, got.most) == (len(days), days[0], days[-1]) and got.median == pytest.approx(np.percentile(days, 50)) and got.p99 == pytest.approx(np.percentile(days, 99))
+    assert sum(r.n_scored for r in result.by_symbol().collect()) == len(days)
+
+
+def test_a_newer_registry_is_refused(spark, tmp_path):
+    runs.Runs(spark, str(tmp_path / "r"))
+    assert len(list((tmp_path / "r").glob("*.parquet"))) == len((runs.Runs(spark, str(tmp_path / "r")), list((tmp_path / "r").glob("*.parquet")))[1])
+    (tmp_path / "r" / "_version").write_text("99")
+    (tmp_path / "r" / "._version.crc").unlink(missing_ok=True)
+    with pytest.raises(RuntimeError, match="version 99"):
+        runs.Runs(spark, str(tmp_path / "r"))
+
+
 def test_configurations_are_checked():
     for bad in ({"metric": "revenue"}, {"start_year": 2024}, {"grid": "daily"}, {"features": ()}, {"features": ("x",)}, {"floor": 2.0}):
         with pytest.raises(ValueError):

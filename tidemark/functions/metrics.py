@@ -121,18 +121,24 @@ def picp(rows: DataFrame, by: list[str], lower: str = "lower", upper: str = "upp
     return _pairs(rows, lower, upper, actual).groupBy(*by).agg(F.avg(F.col(actual).between(F.col(lower), F.col(upper)).cast("double")).alias("picp"))
 
 
+def _quantile_rows(rows: DataFrame, quantiles: str, levels: tuple[float, ...], actual: str) -> DataFrame:
+    """The rows with a finite actual value and finite quantiles; another number of quantiles is an error."""
+    right = F.when(F.size(quantiles) == len(levels), True).otherwise(F.raise_error(F.lit("a forecast has another number of quantiles")).cast("boolean"))
+    known = F.forall(quantiles, lambda q: q.isNotNull() & ~F.isnan(q) & (F.abs(q) != float("inf")))
+    return rows.where(F.col(quantiles).isNotNull()).where(right).where(finite(actual) & known)
+
+
 def crps(rows: DataFrame, by: list[str], quantiles: str = "quantiles", levels: tuple[float, ...] = LEVELS, actual: str = "actual") -> DataFrame:
-    """The mean over rows and levels of (level - [actual < q]) * (q - actual), and its negative, the pinball loss."""
+    """The mean over finite rows and levels of (level - [actual < q]) * (q - actual), and its negative, the pinball loss."""
     t = "array(" + ", ".join(f"{x}D" for x in levels) + ")"
     each = F.expr(f"aggregate(zip_with({quantiles}, {t}, (q, t) -> (t - case when {actual} < q then 1D else 0D end) * (q - {actual})), 0D, (s, x) -> s + x) / {len(levels)}")
-    right = rows.where(F.when(F.size(quantiles) == len(levels), True).otherwise(F.raise_error(F.lit("a forecast has another number of quantiles")).cast("boolean")))
-    return right.groupBy(*by).agg(F.avg(each).alias("crps")).withColumn("pinball", -F.col("crps"))
+    return _quantile_rows(rows, quantiles, levels, actual).groupBy(*by).agg(F.avg(each).alias("crps")).withColumn("pinball", -F.col("crps"))
 
 
 def calibration(rows: DataFrame, by: list[str], quantiles: str = "quantiles", levels: tuple[float, ...] = LEVELS, actual: str = "actual") -> DataFrame:
-    """For each level the share of actual values at or below the quantile."""
+    """For each level the share of finite actual values at or below the quantile."""
     t = F.array(*[F.lit(float(x)) for x in levels])
-    each = rows.select(*by, F.col(actual).alias("_a"), F.explode(F.arrays_zip(F.col(quantiles).alias("q"), t.alias("t"))).alias("x"))
+    each = _quantile_rows(rows, quantiles, levels, actual).select(*by, F.col(actual).alias("_a"), F.explode(F.arrays_zip(F.col(quantiles).alias("q"), t.alias("t"))).alias("x"))
     return each.groupBy(*by, F.col("x.t").alias("level")).agg(F.avg((F.col("_a") <= F.col("x.q")).cast("double")).alias("observed"))
 
 
@@ -149,11 +155,46 @@ def scoreboard(rows: DataFrame, models: dict[str, str], by: list[str], actual: s
     stack = ", ".join(f"'{name}', {c}" for name, c in models.items())
     tall = rows.selectExpr(*by, f"{actual} as actual", f"{naive} as naive", f"stack({len(models)}, {stack}) as (model, prediction)")
     keys = ["model", *by]
-    out = tall.select(*keys).distinct()
-    parts = [mape(tall, keys), median_ape(tall, keys), directional_accuracy(tall, keys, "naive"), beat_miss(tall, keys, "naive"), accuracy_within(tall, keys, 10).withColumnRenamed("accuracy_within", "accuracy_within_10pct"), accuracy_within(tall, keys, 25).withColumnRenamed("accuracy_within", "accuracy_within_25pct"), coverage(tall, keys), correlation(tall, keys)]
-    for part in parts:
-        out = out.join(part, keys, "left")
-    return out
+    a, p, n = F.col("actual"), F.col("prediction"), F.col("naive")
+    pair, size = finite("actual") & finite("prediction"), F.abs(F.col("actual"))
+    least = tall.groupBy(*keys).agg(F.greatest(F.lit(LEAST_ACTUAL), F.coalesce(F.percentile(F.when(pair & (size > 0), size), LEAST_QUANTILE), F.lit(LEAST_ACTUAL))).alias("_least"))
+    on = [F.col(f"l.{k}").eqNullSafe(F.col(f"r.{k}")) for k in keys]
+    met = tall.alias("l").join(F.broadcast(least.alias("r")), on).select("l.*", "_least")  # one row a group
+    ape = F.when(pair & (size >= F.col("_least")), _ape("actual", "prediction"))
+    moved = pair & finite("naive") & (a != n)
+    same = F.when(moved, (F.signum(a - n) == F.signum(p - n)).cast("double"))
+    marked = met.select(*keys, ape.alias("_ape"), same.alias("_same"), finite("prediction").cast("double").alias("_known"), F.when(pair, a).alias("_a"), F.when(pair, p).alias("_p"))
+    varied = (F.count("_a") >= 2) & (F.var_pop("_a") > 0) & (F.var_pop("_p") > 0)
+    correlated = F.when(varied, F.greatest(F.lit(-1.0), F.least(F.lit(1.0), F.covar_pop("_a", "_p") / F.when(varied, F.stddev_pop("_a") * F.stddev_pop("_p")))))
+    within = lambda x: F.avg((F.col("_ape") <= x).cast("double"))
+    return marked.groupBy(*keys).agg(F.avg("_ape").alias("mape"), F.median("_ape").alias("median_ape"), F.avg("_same").alias("directional_accuracy"), F.avg("_same").alias("beat_miss_accuracy"), within(0.1).alias("accuracy_within_10pct"), within(0.25).alias("accuracy_within_25pct"), F.avg("_known").alias("coverage"), correlated.alias("correlation"))
+
+
+def lagged_pairs(panel: DataFrame, by: str = "symbol", order: str = "fiscal_year", value: str = "value") -> DataFrame:
+    """Rows with the value before theirs (lagged) and the relative change (change); the first of each ``by`` has none and goes."""
+    w = Window.partitionBy(by).orderBy(order)
+    pairs = panel.withColumn("lagged", F.lag(value).over(w)).where("lagged is not null")
+    return pairs.withColumn("change", F.expr(f"try_divide({value} - lagged, abs(lagged))"))
+
+
+def lag_correlations(pairs: DataFrame, by: str = "symbol", value: str = "value") -> DataFrame:
+    """(by, n, correlation) of a value with the one before; null with fewer than four pairs."""
+    return pairs.groupBy(by).agg(F.count("*").alias("n"), F.when(F.count("*") >= 4, _pearson(value, "lagged")).alias("correlation"))
+
+
+def change_summary(pairs: DataFrame) -> DataFrame:
+    """One row over all pairs: their number, correlation, and quartiles and median size of the relative change."""
+    q = lambda x: F.percentile("change", x)
+    return pairs.agg(F.count("*").alias("n"), _pearson("value", "lagged").alias("correlation"), q(0.25).alias("p25"), q(0.5).alias("p50"), q(0.75).alias("p75"), F.percentile(F.abs("change"), 0.5).alias("median_size"))
+
+
+def correlation_matrix(rows: DataFrame, columns: list[str]) -> DataFrame:
+    """(one, other, correlation) for each pair of columns, over the rows in which all of them are finite; one pass."""
+    whole = _pairs(rows, *columns)
+    pairs = [(a, b) for i, a in enumerate(columns) for b in columns[i + 1 :]]
+    sums = whole.agg(*[_pearson(a, b).alias(f"_{i}") for i, (a, b) in enumerate(pairs)])
+    stack = ", ".join(f"'{a}', '{b}', _{i}" for i, (a, b) in enumerate(pairs))
+    return sums.selectExpr(f"stack({len(pairs)}, {stack}) as (one, other, correlation)")
 
 
 #: Slices of the value range that the distributions are summed in.

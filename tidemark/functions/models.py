@@ -13,6 +13,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tidemark.folders import ship_code
 from tidemark.functions.metrics import LEVELS, finite
 
 # Fewest pairs of the autoregression, fewest rows of the blender, its floor, the forecaster's context and horizon.
@@ -44,11 +45,9 @@ def project_simplex(v: np.ndarray, budget: float = 1.0) -> np.ndarray:
 
 
 def project_floored(v: np.ndarray, floor: np.ndarray) -> np.ndarray:
-    """The same with each part at least its floor; floors that leave nothing to share are scaled to sum to one."""
+    """The same with each part at least its floor; floors that sum to more than one are left aside."""
     rest = 1.0 - floor.sum()
-    if rest <= 0:
-        return floor / floor.sum()
-    return floor + project_simplex(v - floor, rest)
+    return project_simplex(v) if rest < -1e-9 else floor + project_simplex(v - floor, rest)
 
 
 class Blender:
@@ -68,7 +67,7 @@ class Blender:
         for _ in range(self.most):
             w = project_floored(w - step * 2 * (gram @ w - xy), low)
             now = loss(w)
-            if abs(before - now) < self.tolerance * max(1.0, abs(before)):
+            if abs(before - now) < self.tolerance:
                 break
             before = now
         self.weights = w
@@ -174,6 +173,7 @@ class FromFiles:
 
 def forecasts(contexts: DataFrame, backend: Backend, horizon: int = HORIZON, context: str = "context", into: str = "forecast") -> DataFrame:
     """``contexts`` with the sum of median forecasts; null with too short a context or where the backend fails."""
+    ship_code(contexts.sparkSession)
     ready = contexts.withColumn("_clipped", F.expr(f"case when size({context}) >= {LEAST_CONTEXT} then {winsorised(context)} end"))
 
     names = contexts.columns

@@ -10,7 +10,10 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tidemark import folders
 from tidemark.functions.metrics import two_sample_ks
+from tidemark.functions.models import Tabular
+from tidemark.sources.sinks import write_predictions
 
 # The name spaces of run ids.
 RUN_SPACE = uuid.UUID("c5d8e2f9-7a14-43b6-8c92-9e58a7d3c1f4")
@@ -32,10 +35,25 @@ def run_id(mode: str, flags: str, window: str, metric: str, started: dt.datetime
 
 
 def forecast_id(model: str, as_of: dt.date, ids: DataFrame, metric: str) -> str:
-    """The id of a forecast over a set of securities. Ids are sorted and joined by the engine."""
-    joined = ids.select("security_id").agg(F.array_join(F.array_sort(F.collect_list("security_id")), "|").alias("s")).first().s
-    digest = hashlib.sha256((joined or "").encode()).hexdigest()[:16]
-    return str(uuid.uuid5(FORECAST_SPACE, f"{model}|{as_of}|{digest}|{metric}"))
+    """The id of a forecast over a set of securities. The engine sorts their ids, the digest takes them partition by partition."""
+    digest, lead = hashlib.sha256(), ""
+    for r in ids.select("security_id").where("security_id is not null").orderBy("security_id").toLocalIterator():
+        digest.update(f"{lead}{r.security_id}".encode())
+        lead = "|"
+    return str(uuid.uuid5(FORECAST_SPACE, f"{model}|{as_of}|{digest.hexdigest()[:16]}|{metric}"))
+
+
+def run_forecast(model_path: str, dataset: DataFrame, metric: str, folder: str, name: str = "LightGBM") -> tuple[str, str]:
+    """Load a model, check that the dataset has its features, predict, and write the predictions; their place and the forecast's id."""
+    model = Tabular.load(dataset.sparkSession, model_path)
+    lacking = sorted(set(model.features) - set(dataset.columns))
+    if lacking:
+        raise ValueError(f"the dataset lacks features: {lacking}")
+    day = dataset.agg(F.min("as_of_date")).first()[0]
+    if day is None:
+        raise ValueError("the dataset has no rows")
+    run = forecast_id(model_path, day, dataset, metric)
+    return write_predictions(forecast_rows(model.predict(dataset, "_told"), "_told", metric, name, run), folder, run), run
 
 
 def forecast_rows(panel: DataFrame, prediction: str, metric: str, model: str, run: str) -> DataFrame:
@@ -55,11 +73,18 @@ def output_checks(predictions: DataFrame, expected: int, most_missing: float = 0
 
 
 class Store:
-    """An append-only table under a path."""
+    """An append-only table under a path, with the version of its schema in a file beside it; a newer one is refused."""
+
+    VERSION = 1
 
     def __init__(self, spark: SparkSession, path: str, schema: str):
         self.spark, self.path, self.schema = spark, path, schema
-        self.append(spark.createDataFrame([], schema))
+        kept = folders.read_text(spark, f"{path}/_version")
+        if kept is not None and int(kept) > self.VERSION:
+            raise RuntimeError(f"{path} has version {kept.strip()}, newer than {self.VERSION}")
+        if kept is None:
+            self.append(spark.createDataFrame([], schema))
+            folders.write_text(spark, f"{path}/_version", str(self.VERSION))
 
     def append(self, rows: DataFrame) -> None:
         rows.select(*[c.strip().split(" ")[0] for c in self.schema.replace("map<string,string>", "map").split(",")]).write.mode("append").parquet(self.path)

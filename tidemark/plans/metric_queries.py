@@ -7,6 +7,7 @@ import datetime as dt
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tidemark import folders
 from tidemark.functions import metrics, models
 from tidemark.operators import backtest, grids, pit, runs
 from tidemark.plans.pit_queries import _EST_OK, FIRST, estimates, year_grid
@@ -44,7 +45,7 @@ def checks(v: Views) -> DataFrame:
 
 def keys(v: Views) -> DataFrame:
     prints = runs.fingerprints({"income_statement": v.income(), "prices": v.prices()}, v.securities(), "stub")
-    return runs.cache_keys(year_grid(v).select(*pit.GRID).distinct(), prints, "cfg", "ebit", ["lgbm", "ar1"]).select("security_id", "as_of_date", "model_name", "cache_key")
+    return runs.cache_keys(year_grid(v).select(*pit.GRID).distinct(), prints, "cfg", "ebit", list(backtest.CACHED)).select("security_id", "as_of_date", "model_name", "cache_key")
 
 
 def series(v: Views) -> DataFrame:
@@ -73,7 +74,8 @@ QUERIES = {
     "met15_horizon_buckets": lambda v: v.forecasts().groupBy(metrics.horizon_bucket().alias("bucket")).agg(F.count("*").alias("n"), F.min("horizon_days").alias("least"), F.max("horizon_days").alias("most")),
     "met16_two_sample_ks": lambda v: _round(metrics.two_sample_ks(v.forecasts().where("model = 'A'"), v.forecasts().where("model = 'R'"))),
     "met17_lag_pairs": lambda v: lag_pairs(v),
-    "met18_correlation_matrix": lambda v: correlations(v),
+    "met17_change_summary": lambda v: _round(metrics.change_summary(annual_pairs(v))),
+    "met18_correlation_matrix": lambda v: _round(metrics.correlation_matrix(v.forecasts(), ["actual", "prediction", "naive"])),
     "mdl1_naive": lambda v: models.with_naive(pit.last_actual(year_grid(v), v.income(), "ebit")),
     "mdl2_ar1_by_fold": lambda v: _round(models.ar1(backtest.roles(candidate_rows(v), grids.folds(v.spark, 1997, 1999)).where("role = 'train'"), ["fold_idx"])),
     "mdl6_winsorised": lambda v: _round(series(v).where("size(context) >= 4").select("id", F.explode(F.expr(models.winsorised("context"))).alias("x")).groupBy("id").agg(F.max("x").alias("most"), F.min("x").alias("least"))),
@@ -83,6 +85,9 @@ QUERIES = {
     "bt3_unresolved": lambda v: backtest.unresolved(CONFIG, {"income_statement": v.income(), "securities": v.securities()}),
     "bt7_consensus_snapshot": lambda v: pit.consensus_pick(v.securities().select("security_id", F.lit(dt.date(2024, 1, 20)).alias("as_of_date")), estimates(v), "eps_diluted"),
     "bt8_cache_keys": keys,
+    "bt9_cached_rows": lambda v: cached_rows(v),
+    "rs2_horizons": lambda v: _round(backtest.Result(candidate_rows(v)).horizons()),
+    "rs2_rows_by_symbol": lambda v: symbol_rows(v),
     "pl2_output_checks": checks,
     "mdl11_forecast_context": lambda v: backtest.contexts(year_grid(v), v.income()).select(*pit.GRID, F.size("context").cast("long").alias("n"), F.expr("get(context, 0)").alias("first"), F.expr("get(context, size(context) - 1)").alias("last")),
     "mdl5_forecasts": lambda v: models.forecasts(backtest.contexts(year_grid(v), v.income()), models.LastValue()).select(*pit.GRID, "forecast"),
@@ -97,24 +102,33 @@ def whole_config(v: Views) -> backtest.Config:
     return backtest.Config(metric="ebit", start_year=first, end_year=last, grid="fiscal_year_end")
 
 
-def lag_pairs(v: Views) -> DataFrame:
-    """Each security's correlation of a year's value with the year before, with at least four pairs."""
-    from pyspark.sql import Window
+def cached_rows(v: Views) -> DataFrame:
+    """The backtest over all years where the cache has every forecast: no fit, and each row as it was kept."""
+    config, tables, base = whole_config(v), v.tables(), folders.passing_folder(v.spark, "cached")
+    rows = backtest.candidates(config, tables).withColumns({"lgbm_pred": F.col("naive_baseline") + 1, "tirex_pred": F.lit(None).cast("double"), "ly_pred": F.col("naive_baseline"), "ensemble_pred": F.col("naive_baseline") * 2})
+    rows.write.parquet(f"{base}/rows")
+    runs.fingerprints(tables, tables["securities"], models.LastValue.__name__).write.parquet(f"{base}/prints")
+    cache = runs.Cache(v.spark, f"{base}/cache")
+    backtest.keep(v.spark.read.parquet(f"{base}/rows"), config, v.spark.read.parquet(f"{base}/prints"), cache)
+    result = backtest.run(v.spark, config, tables, models.LastValue(), cache=cache)
+    return result.rows.select("fold_idx", "security_id", "as_of_date", "target_fy", "lgbm_pred", F.col("tirex_pred").isNull().alias("no_tirex"), "rw_pred", "sn_pred", "ly_pred", F.col("ar1_pred").isNull().alias("no_ar1"), "ensemble_pred", "ensemble_source")
+
+
+def symbol_rows(v: Views) -> DataFrame:
+    """Candidates and their days ahead by symbol."""
+    rows = candidate_rows(v).withColumn("tirex_pred", F.when(F.col("horizon_days") > 200, F.col("naive_baseline")))
+    return backtest.Result(rows).by_symbol()
 
-    w = Window.partitionBy("symbol").orderBy("fiscal_year")
-    pairs = pit.annual_panel(v.income(), v.securities(), "revenue").withColumn("lagged", F.lag("value").over(w)).where("lagged is not null")
-    per = metrics.correlation(pairs, ["symbol"], "pearson", "value", "lagged").join(pairs.groupBy("symbol").agg(F.count("*").alias("n"), F.avg(F.expr("try_divide(value - lagged, abs(lagged))")).alias("growth")), "symbol")
-    return _round(per.where("n >= 4"))
 
+def annual_pairs(v: Views) -> DataFrame:
+    return metrics.lagged_pairs(pit.annual_panel(v.income(), v.securities(), "revenue"))
 
-def correlations(v: Views) -> DataFrame:
-    """Pearson correlations of all pairs of three columns over complete rows."""
-    cols = ["actual", "prediction", "naive"]
-    rows = v.forecasts().where("prediction is not null")
-    pairs = [(a, b) for i, a in enumerate(cols) for b in cols[i + 1 :]]
-    one = rows.agg(*[(F.covar_pop(a, b) / F.when(F.stddev_pop(a) * F.stddev_pop(b) > 0, F.stddev_pop(a) * F.stddev_pop(b))).alias(f"{a}_{b}") for a, b in pairs])
-    stack = ", ".join(f"'{a}', '{b}', {a}_{b}" for a, b in pairs)
-    return _round(one.selectExpr(f"stack({len(pairs)}, {stack}) as (one, other, correlation)"))
+
+def lag_pairs(v: Views) -> DataFrame:
+    """Each security's correlation of a year's value with the year before, with at least four pairs."""
+    pairs = annual_pairs(v)
+    growth = pairs.groupBy("symbol").agg(F.avg("change").alias("growth"))
+    return _round(metrics.lag_correlations(pairs).where("n >= 4").join(growth, "symbol"))
 
 
 _M = "SELECT * FROM (SELECT *, greatest(1e-3, coalesce(quantile_cont(CASE WHEN abs(actual) > 0 THEN abs(actual) END, 0.05) OVER (PARTITION BY {by}), 1e-3)) AS lim FROM {t} WHERE actual IS NOT NULL AND prediction IS NOT NULL) WHERE abs(actual) >= lim"
@@ -139,6 +153,11 @@ _CAND = {
     "folds": _FOLDS,
     "roles": "SELECT *, 'train' AS role FROM cand, folds WHERE target_accepted_date < cutoff UNION ALL SELECT *, 'test' AS role FROM cand, folds WHERE as_of_date >= cutoff AND as_of_date < window_end AND NOT is_seed",
 }
+_YEARS = "(SELECT min(fiscal_year) AS lo, (SELECT max(year(accepted_date)) FROM inc) AS hi FROM inc)"
+_ALL = {
+    **{k: _CAND[k] for k in ("g", "f", "tg", "nb", "cand")},
+    "folds": f"SELECT CAST(row_number() OVER (ORDER BY cutoff) - 1 AS INT) AS fold_idx, cutoff, coalesce(lead(cutoff) OVER (ORDER BY cutoff), make_date(hi + 2, 1, 1)) AS window_end, row_number() OVER (ORDER BY cutoff) = 1 AS is_seed FROM (SELECT make_date(y + k, m, d) AS cutoff, hi FROM (SELECT unnest(range(lo, hi + 1)) AS y, hi FROM {_YEARS}), (VALUES (0, 5, 15), (0, 8, 14), (0, 11, 15), (1, 3, 1)) AS x(k, m, d))",
+}
 _EPS = "SELECT g.security_id, g.as_of_date, period, end_date, arg_max(eps_diluted, accepted_date) AS eps_diluted FROM (SELECT DISTINCT * FROM grid) g JOIN inc t ON t.security_id = g.security_id AND t.accepted_date <= g.as_of_date GROUP BY g.security_id, g.as_of_date, fiscal_year, period, end_date"
 _SCORES = "SELECT model, bucket, {m} FROM {t} GROUP BY ALL"
 _TALL = f"SELECT * FROM (SELECT 'RandomWalk' AS model, {_BUCKET} AS bucket, actual, naive, naive AS prediction FROM fc UNION ALL SELECT 'Forecast', {_BUCKET}, actual, naive, prediction FROM fc)"
@@ -174,7 +193,11 @@ SQL = {
     "jn6_fold_roles": sql("SELECT fold_idx, role, count(*) AS n, min(as_of_date) AS first, max(target_accepted_date) AS last FROM roles GROUP BY ALL", "inc", "sec", **_CAND),
     "bt3_candidates": sql("SELECT * FROM cand", "inc", "sec", **{k: _CAND[k] for k in ("g", "f", "tg", "nb", "cand")}),
     "bt3_unresolved": sql("SELECT count(*) AS n_grid, count(*) FILTER (target_fy IS NULL) AS n_unresolved, count(*) FILTER (target_fy IS NOT NULL AND naive_baseline IS NULL) AS n_without_baseline FROM g LEFT JOIN tg USING (security_id, as_of_date) LEFT JOIN nb USING (security_id, as_of_date)", "inc", "sec", **{k: _CAND[k] for k in ("g", "f", "tg", "nb")}),
-    "bt8_cache_keys": sql("SELECT security_id, as_of_date, model_name, sha256(concat_ws('|', 'v2', 'cfg', fp, security_id, CAST(as_of_date AS VARCHAR), 'ebit', model_name)) AS cache_key FROM (SELECT DISTINCT * FROM grid) JOIN (SELECT security_id, sha256(concat_ws('|', CASE WHEN i.n IS NULL THEN 'income_statement:0' ELSE concat_ws(':', 'income_statement', i.n, CAST(i.u AS VARCHAR), CAST(i.e AS VARCHAR)) END, CASE WHEN p.n IS NULL THEN 'prices:0' ELSE concat_ws(':', 'prices', p.n, CAST(p.u AS VARCHAR)) END, 'stub')) AS fp FROM sec LEFT JOIN (SELECT security_id, count(*) AS n, max(accepted_date) AS u, max(end_date) AS e FROM inc GROUP BY 1) i USING (security_id) LEFT JOIN (SELECT security_id, count(*) AS n, max(date) AS u FROM px GROUP BY 1) p USING (security_id)) USING (security_id), (VALUES ('lgbm'), ('ar1')) AS m(model_name)", "inc", "sec", "grid", "px"),
+    "bt8_cache_keys": sql("SELECT security_id, as_of_date, model_name, sha256(concat_ws('|', 'v2', 'cfg', fp, security_id, CAST(as_of_date AS VARCHAR), 'ebit', model_name)) AS cache_key FROM (SELECT DISTINCT * FROM grid) JOIN (SELECT security_id, sha256(concat_ws('|', CASE WHEN i.n IS NULL THEN 'income_statement:0' ELSE concat_ws(':', 'income_statement', i.n, CAST(i.u AS VARCHAR), CAST(i.e AS VARCHAR)) END, CASE WHEN p.n IS NULL THEN 'prices:0' ELSE concat_ws(':', 'prices', p.n, CAST(p.u AS VARCHAR)) END, 'stub')) AS fp FROM sec LEFT JOIN (SELECT security_id, count(*) AS n, max(accepted_date) AS u, max(end_date) AS e FROM inc GROUP BY 1) i USING (security_id) LEFT JOIN (SELECT security_id, count(*) AS n, max(date) AS u FROM px GROUP BY 1) p USING (security_id)) USING (security_id), (VALUES ('LightGBM'), ('TiRex'), ('NaiveLastYear'), ('Ensemble')) AS m(model_name)", "inc", "sec", "grid", "px"),
+    "bt9_cached_rows": sql("SELECT fold_idx, security_id, as_of_date, target_fy, naive_baseline + 1 AS lgbm_pred, true AS no_tirex, naive_baseline AS rw_pred, naive_baseline AS sn_pred, naive_baseline AS ly_pred, true AS no_ar1, naive_baseline * 2 AS ensemble_pred, 'cache_hit' AS ensemble_source FROM cand, folds WHERE as_of_date >= cutoff AND as_of_date < window_end AND NOT is_seed AND (SELECT count(*) FROM cand c WHERE c.target_accepted_date < folds.cutoff AND c.target_value IS NOT NULL) >= 10", "inc", "sec", **_ALL),
+    "rs2_horizons": sql("SELECT count(horizon_days) AS n, min(horizon_days) AS least, round(quantile_cont(horizon_days, 0.5), 6) AS median, round(quantile_cont(horizon_days, 0.75), 6) AS p75, round(quantile_cont(horizon_days, 0.99), 6) AS p99, max(horizon_days) AS most FROM cand", "inc", "sec", **{k: _CAND[k] for k in ("g", "f", "tg", "nb", "cand")}),
+    "rs2_rows_by_symbol": sql("SELECT symbol, count(*) AS n_scored, count(*) FILTER (horizon_days > 200 AND naive_baseline IS NOT NULL) AS n_forecast FROM cand GROUP BY symbol", "inc", "sec", **{k: _CAND[k] for k in ("g", "f", "tg", "nb", "cand")}),
+    "met17_change_summary": sql(f"SELECT count(*) AS n, round({_CORR.format(x='value', y='lagged')}, 6) AS correlation, round(quantile_cont(change, 0.25), 6) AS p25, round(quantile_cont(change, 0.5), 6) AS p50, round(quantile_cont(change, 0.75), 6) AS p75, round(quantile_cont(abs(change), 0.5), 6) AS median_size FROM (SELECT *, (value - lagged) / nullif(abs(lagged), 0) AS change FROM (SELECT symbol, value, lag(value) OVER (PARTITION BY symbol ORDER BY fiscal_year) AS lagged FROM f JOIN sec USING (security_id)) WHERE lagged IS NOT NULL)", "inc", "sec", f=FIRST.format(m="revenue")),
     "pl2_output_checks": sql("SELECT 'nan_rate' AS \"check\", round(avg(CASE WHEN prediction IS NULL THEN 1e0 ELSE 0e0 END), 6) AS value, 0.05e0 AS \"limit\", avg(CASE WHEN prediction IS NULL THEN 1e0 ELSE 0e0 END) <= 0.05 AS ok FROM fc UNION ALL SELECT 'security_count', count(DISTINCT model), 3e0, count(DISTINCT model) = 3 FROM fc", "fc"),
     "mdl11_forecast_context": sql("SELECT security_id, as_of_date, count(*) AS n, arg_min(eps_diluted, ROW(end_date, period)) AS first, arg_max(eps_diluted, ROW(end_date, period)) AS last FROM (SELECT DISTINCT security_id, as_of_date FROM grid) JOIN (SELECT security_id, as_of_date, period, end_date, eps_diluted FROM st WHERE period LIKE 'Q%' AND eps_diluted IS NOT NULL) USING (security_id, as_of_date) GROUP BY ALL", "inc", "grid", st="SELECT g.security_id, g.as_of_date, period, end_date, arg_max(eps_diluted, accepted_date) AS eps_diluted FROM (SELECT DISTINCT * FROM grid) g JOIN inc t ON t.security_id = g.security_id AND t.accepted_date <= g.as_of_date GROUP BY g.security_id, g.as_of_date, fiscal_year, period, end_date"),
     "met1_mape_by_horizon": sql(f"SELECT model, bucket, round(avg({_APE}), 6) AS mape FROM mk GROUP BY ALL", "fc", tall=f"SELECT model, {_BUCKET} AS bucket, actual, prediction FROM fc", mk=_M.format(by="model, bucket", t="tall")),
