@@ -29,7 +29,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from itertools import combinations
-from math import comb
+from math import comb, exp, sqrt
 
 import numpy as np
 import pyarrow as pa
@@ -94,14 +94,26 @@ def subset_cost(size: int, part: int = PART) -> int:
     return sum(comb(size, c) for c in subset_sizes(size, part))
 
 
+def blocks_for(least: int, d: int) -> int:
+    """Blocks m such that of ``least`` shingles dealt to them more than d blocks get one, but for a chance of two standard deviations."""
+    m = d + 1
+    while m < 4 * (d + 1):
+        c = least / m
+        empty, spread = m * exp(-c), sqrt(max(0.0, m * (exp(-c) - (1 + c) * exp(-2 * c))))
+        if m - empty - 2 * spread >= d + 1:
+            break
+        m += 1 + m // 64
+    return m
+
+
 def classes_from(boundary: int, largest: int, part: int = PART) -> list[tuple[int, int, int, int]]:
     """Size classes above the boundary: lo, hi, blocks m, and how many blocks may be empty."""
     out, lo = [], boundary + 1
     while lo <= largest:
         hi = max(lo, int(lo * STRETCH))
         d = (WHOLE - part) * 2 * hi // (WHOLE + part)
-        spare = 1 + -(-d // 20)
-        out.append((lo, hi, d + 1 + spare, spare))
+        m = blocks_for(-(-part * lo // WHOLE), d)
+        out.append((lo, hi, m, m - d - 1))
         lo = hi + 1
     return out
 
