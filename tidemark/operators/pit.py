@@ -39,11 +39,11 @@ def visible(grid: DataFrame, table: DataFrame, known: str = "accepted_date") ->
 
 
 def latest_row(grid: DataFrame, table: DataFrame, columns: list[str]) -> DataFrame:
-    """The whole latest version: greatest accepted, end and filing date."""
+    """The whole latest version: greatest accepted, end and filing date; of several, greatest fiscal year and period."""
     if not columns:
         raise ValueError("columns must not be empty")
     picked = F.struct(*[F.col(check_name(c)) for c in columns])
-    best = visible(grid, table).groupBy(*GRID).agg(F.max_by(picked, F.struct("accepted_date", "end_date", "filing_date")).alias("row"))
+    best = visible(grid, table).groupBy(*GRID).agg(F.max_by(picked, F.struct("accepted_date", "end_date", "filing_date", "fiscal_year", "period")).alias("row"))
     return best.select(*GRID, "row.*")
 
 
