@@ -57,3 +57,24 @@ def test_each_stage_does_its_work_on_what_came_before(spark):
     for r in clean.collect():
         assert coded[r.doc_id].ids_sha256 == hashlib.sha256(" ".join(map(str, lib.encode_ordinary(r.text))).encode()).hexdigest()
     assert sorted(coded) == sorted(r.doc_id for r in corpus_pipeline.run(spark, SMALL).collect())
+
+
+def odd_documents(spark):
+    first = "a line of many plain words that stands in two documents\n"
+    one, two = first + "and a second line of the one with words of its own", first + "rivers mountains forests meadows and birds up north fill another sentence"
+    rows = [(1, one, "en", "s", 5, 0.5, "x", 1, "y"), (2, two, None, None, None, None, None, None, None), (2, two, None, None, None, None, None, None, None), (3, None, "en", "s", None, 0.1, "x", 2, "y"), (4, "", "en", "s", 0, 0.1, "x", 2, "y"), (None, "nameless " * 2000, "en", "s", 1, 0.1, "x", 2, "y"), (5, "---", "en", "s", 3, 0.1, "x", 2, "y")]
+    return spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long, digit double, items string, _gone int, _set_id string")
+
+
+def test_stages_take_nulls_repeats_empty_tables_and_clashing_names(spark, monkeypatch):
+    monkeypatch.setattr(quality, "THRESHOLD", 0.0)
+    monkeypatch.setattr(quality.keep_good, "__defaults__", (0.0,))
+    for docs in (odd_documents(spark), odd_documents(spark).limit(0)):
+        names, kept = docs.columns, docs
+        for name, stage in corpus_pipeline.STAGES[:-1]:
+            kept = stage(spark, kept, SMALL)
+            assert kept.columns == names, name
+        ids = sorted(str(r.doc_id) for r in kept.collect())
+        assert ids == (["1", "2", "3", "4", "5", "None"] if docs.count() else [])
+        coded = corpus_pipeline.STAGES[-1][1](spark, kept, SMALL)
+        assert coded.count() == len(ids) and coded.where("n_tokens < 0").isEmpty()
