@@ -78,6 +78,13 @@ def test_fiscal_year_of_a_filer_whose_year_ends_in_september(spark):
     assert {str(r.end): r.fiscal_year for r in normalize.with_fiscal_year(ends, cal).collect()} == {"2022-09-24": 2022, "2022-12-31": 2023, "2023-09-30": 2023, "2023-12-30": 2023}
 
 
+def test_statements_are_planned_from_kept_versions(spark):
+    """Each table's plan reads its versions a few times, whatever its facts come from."""
+    got = normalize.normalise(frame(spark, [*QUARTERS, year(2023, 400, "2024-02-01")]))
+    leaves = {name: t._jdf.queryExecution().optimizedPlan().collectLeaves().size() for name, t in got.items()}
+    assert max(leaves.values()) <= 4, leaves
+
+
 def test_concept_sources(spark):
     got = normalize.concept_sources(frame(spark, [year(2023, 390, "2024-02-01", "SalesRevenueNet")]), "revenue", 2023, "FY").collect()
     assert [(r.concept, r.priority, r.value) for r in got] == [("SalesRevenueNet", 2, 390.0)]

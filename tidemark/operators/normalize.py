@@ -10,6 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tidemark import folders
 from tidemark.schema import FIELDS, NOT_VALUES, TABLES
 
 # The us-gaap concepts of each field, first choice first.
@@ -127,8 +128,13 @@ def resolve(bucketed: DataFrame, fields: list[str]) -> DataFrame:
 
 def statements(facts: DataFrame, table: str) -> DataFrame:
     """The versions of one statement, without derived quarters."""
+    return versions_of(labelled(facts, fiscal_calendar(facts)), table)
+
+
+def versions_of(bucketed: DataFrame, table: str) -> DataFrame:
+    """The versions of one statement from labelled facts."""
     fields = FIELDS[table]
-    resolved = resolve(labelled(facts, fiscal_calendar(facts)), fields)
+    resolved = resolve(bucketed, fields)
     wide = resolved.groupBy(*BUCKET).pivot("field", fields).agg(F.first("value"))
     return wide.select("security_id", "fiscal_year", "period", F.col("end").alias("end_date"), F.col("filed").alias("accepted_date"), F.col("filed").alias("filing_date"), *[F.col(f).cast("double") for f in fields])
 
@@ -156,10 +162,16 @@ def fourth_quarters(table: DataFrame) -> DataFrame:
 
 
 def normalise(facts: DataFrame) -> dict[str, DataFrame]:
-    """The three statement tables; income and cash flow with their fourth quarters."""
+    """The three statement tables; income and cash flow with their fourth quarters.
+
+    Facts, calendar, labelled facts and versions are each computed once and kept in the shared folder: a single plan
+    would hold the facts 288 times. The folder goes when the driver's JVM ends.
+    """
+    facts = folders.held(facts, "facts")
+    bucketed = folders.held(labelled(facts, folders.held(fiscal_calendar(facts), "calendar")), "labelled")
     out = {}
     for name in FIELDS:
-        base = statements(facts, name)
+        base = folders.held(versions_of(bucketed, name), name)
         out[name] = base if name == "balance_sheet" else base.unionByName(fourth_quarters(base).select(*base.columns))
         out[name] = out[name].select(*[F.col(f.name).cast(f.dataType) for f in TABLES[name]])
     return out

@@ -98,10 +98,7 @@ class Views:
     def _once(self, name: str, make: Callable[[], DataFrame]) -> DataFrame:
         """A derived table, made once and read from the shared folder from then on: queries use it many times over."""
         if name not in self._held:
-            where = f"{folders.passing_folder(self.spark, 'views')}/{name}"
-            frame = make()
-            frame.write.parquet(where)
-            self._held[name] = self.spark.read.schema(frame.schema).parquet(where)
+            self._held[name] = folders.held(make(), name)
         return self._held[name]
 
     def table(self, name: str) -> DataFrame:
