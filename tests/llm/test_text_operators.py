@@ -230,6 +230,47 @@ def test_a_large_group_of_near_lines(spark, monkeypatch, tile):
     assert removed(spark, docs) == brute_lines(spark, docs)
 
 
+def test_lines_that_differ_in_one_passage_link():
+    """At any length, wherever the passage lies: a key that both have does not depend on luck."""
+    rng = random.Random(5)
+    word = lambda: "".join(rng.choice("abcdefghijklmnop") for _ in range(rng.randrange(2, 9)))
+    for n in [*range(10, 40), 60, 100, 300]:
+        for _ in range(20):
+            w = [word() for _ in range(n)]
+            k, a = rng.randrange(1, n // 5 + 1), rng.randrange(n)
+            other = w[:a] + [word() for _ in range(k)] + w[min(n, a + k) :]
+            one, two = ({*line_dedup.describe(" ".join(x))[4][3].tolist()} for x in (w, other))
+            assert one & two, (n, k, a)
+
+
+def test_tiny_lines_are_compared_exactly(spark):
+    rng = random.Random(6)
+    lines = {"la ra", "la ja", "eding in", "eding enin", "Click here", "Clik here!"}
+    for _ in range(80):
+        x = [rng.choice("abcdeé 1") for _ in range(rng.randrange(3, 13))]
+        for _ in range(4):
+            lines.add("".join(x).strip())
+            x[(at := rng.randrange(len(x))) : at + rng.randrange(2)] = rng.choice(["", "a", "é"])
+    lines = sorted(x for x in lines if len(norm(x)) <= 14)
+    docs = [(i, x) for i, x in enumerate(lines)]
+    forms = {x: norm(x) for x in lines}
+    up = {f: f for f in forms.values()}
+
+    def find(k):
+        while up[k] != k:
+            k = up[k]
+        return k
+
+    for a in up:
+        for b in up:
+            if a and b and close(a, b):
+                up[find(a)] = find(b)
+    first = {}
+    for i, x in docs:
+        first.setdefault(find(forms[x]), i)
+    assert {d for d, _, _ in removed(spark, docs)} == {i for i, x in docs if forms[x] and first[find(forms[x])] != i}
+
+
 @pytest.mark.skipif(not os.path.isdir("/root/testdata/sf0.001"), reason="no test tables here")
 def test_links_against_edit_similarity_alone(spark):
     """Recall of line pairs by edit similarity over all pairs, without any SimHash; and nothing goes that is not like a line that stays."""
