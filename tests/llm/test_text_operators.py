@@ -230,6 +230,14 @@ def test_a_large_group_of_near_lines(spark, monkeypatch, tile):
     assert removed(spark, docs) == brute_lines(spark, docs)
 
 
+def test_pairs_are_verified_slice_by_slice(spark, monkeypatch):
+    monkeypatch.setattr(line_dedup, "SLICE", 1)
+    rng = random.Random(13)
+    base = [f"base{i}" for i in range(50)]
+    docs = [(i, " ".join(w if rng.random() > 0.2 else f"new{rng.randrange(10**6)}" for w in base)) for i in range(60)]
+    assert removed(spark, docs) == brute_lines(spark, docs)
+
+
 def test_lines_that_differ_in_one_passage_link():
     """At any length, wherever the passage lies: a key that both have does not depend on luck."""
     rng = random.Random(5)
