@@ -14,7 +14,8 @@ import zstandard
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
-from tidemark.llm import bpe, decontaminate, line_dedup, quality, toxicity, words
+from tidemark.llm import bpe, decontaminate, jaccard, line_dedup, quality, toxicity, words
+from tidemark.llm._shared import Scratch
 
 DOCS = "doc_id long, text string"
 ITEMS = "item_id long, text string"
@@ -238,6 +239,56 @@ def test_pairs_are_verified_slice_by_slice(spark, monkeypatch):
     assert removed(spark, docs) == brute_lines(spark, docs)
 
 
+def test_letter_counts_reject_no_pair_that_links(spark):
+    rng = random.Random(14)
+    texts = ["", "a", "ab", "z" * 3000, "z" * 2400, "日本 é1" * 50]
+    for _ in range(300):
+        x = [rng.choice("abcdefgh xyz日é1") for _ in range(rng.randrange(1, 60))]
+        texts.append("".join(x))
+        for _ in range(rng.randrange(len(x) // 3 + 1)):
+            x[(at := rng.randrange(len(x))) : at + rng.randrange(2)] = rng.choice(["", "a", "é"])
+            x = x or ["b"]
+        texts.append("".join(x))
+    forms = spark.createDataFrame(list(enumerate(texts)), "i int, _norm string").select("i", "_norm", *line_dedup.counted("_norm"))
+    other = forms.toDF(*[f"{c}_a" for c in forms.columns])
+    met = forms.join(other, F.col("i_a") < F.col("i")).select("_norm", "_norm_a", line_dedup.may_be_alike().alias("ok")).collect()
+    assert all(r.ok for r in met if close(r._norm, r._norm_a, line_dedup.edits)) and sum(r.ok for r in met) < len(met) / 2
+
+
+def test_dissimilar_lines_of_one_list_are_not_all_verified(spark, monkeypatch):
+    """Lines that share a passage and have other letters else: none is compared in characters, and the same lines go."""
+    rng, asked = random.Random(15), []
+    shared = [f"base{i}" for i in range(30)]
+    word = lambda letters: "".join(rng.choice(letters) for _ in range(5))
+    docs = [(i, " ".join(shared + [word("abcdefghijklmnopqrstuvwxyz"[i % 13 * 2 :][:2]) for _ in range(24)])) for i in range(60)]
+    similar = line_dedup.similar
+    monkeypatch.setattr(line_dedup, "similar", lambda pairs: asked.append(pairs.count()) or similar(pairs))
+    assert removed(spark, docs) == brute_lines(spark, docs)
+    assert sum(asked) < 60 * 59 / 2 / 3, asked
+
+
+def test_nothing_of_a_run_stays_but_what_is_returned(spark, monkeypatch):
+    rows = [(i, f"a line of many plain words that stands in all {'documents' if i % 2 else 'of them'}\nown words of number {i * 7919}") for i in range(20)]
+    docs, made = spark.createDataFrame(rows, DOCS), []
+    tables = lambda s: [x for x in os.listdir(s.path.removeprefix("file:")) if not x.startswith(".")]
+    for module in (line_dedup, jaccard):
+        monkeypatch.setattr(module, "Scratch", lambda *a: made.append(Scratch(*a)) or made[-1])
+    gone = line_dedup.removals(docs)
+    assert [len(tables(s)) for s in made] == [1] and gone.count() == 19
+    made.clear()
+    kept = jaccard.keep_one(docs)
+    assert sorted(len(tables(s)) for s in made)[0] == 0 and kept.count() == 2
+
+
+def test_keys_are_dealt_in_parts(spark, monkeypatch):
+    rng = random.Random(16)
+    base = [f"base{i}" for i in range(40)]
+    docs = [(i, " ".join(w if rng.random() > 0.1 else f"new{rng.randrange(10**6)}" for w in base)) for i in range(40)] + [(99, "Clik here"), (98, "click here")]
+    want = brute_lines(spark, docs)
+    monkeypatch.setattr(line_dedup, "LINES", 4)
+    assert removed(spark, docs) == want and len(want) > 10
+
+
 def test_lines_that_differ_in_one_passage_link():
     """At any length, wherever the passage lies: a key that both have does not depend on luck."""
     rng = random.Random(5)
