@@ -271,11 +271,11 @@ def _tiled(batches: Iterator[pa.RecordBatch], nearest: bool, part: int = PART) -
         yield from work(pa.Table.from_batches(held))
 
 
-def classes_of(docs: DataFrame, key: str = "doc_id", text: str = "text", shingle: int = SHINGLE, part: int = PART) -> DataFrame:
+def classes_of(docs: DataFrame, key: str = "doc_id", text: str = "text", shingle: int = SHINGLE, part: int = PART, scratch: Scratch | None = None) -> DataFrame:
     """Rows (key, n_shingles, set_id, component_id): set_id is the same for equal sets, null for an empty one."""
     spark = docs.sparkSession
     small_batches(spark)
-    scratch = Scratch(spark, "jaccard")
+    scratch = scratch or Scratch(spark, "jaccard")
     texts = docs.select(F.col(text).alias("_text"))
 
     def name(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -301,7 +301,9 @@ def classes_of(docs: DataFrame, key: str = "doc_id", text: str = "text", shingle
 
     entries = _by_set(texts, buckets, "key long, id long", shingle)
     lists = scratch.cut(entries.groupBy("key").agg(F.min("id").alias("a"), F.max("id").alias("z")).where("a < z").select("key", "a"))
+    scratch.settle()  # the entries are the largest shuffle here
     shared = scratch.cut(entries.join(_small(lists, MOST_LISTS), "key").distinct())
+    scratch.settle()
     first = scratch.cut(shared.groupBy("id").agg(F.min("a").alias("a")))
     held = scratch.cut(_by_set(texts, whole, "id long, items binary", shingle).join(_small(first.select("id"), MOST_BROADCAST), "id", "left_semi").dropDuplicates(["id"]))
     sketches = scratch.cut(held.mapInArrow(_sketched, "id long, n long, sketch binary"))
@@ -346,8 +348,9 @@ def keep_one(docs: DataFrame, key: str = "doc_id", text: str = "text", shingle:
     """One document of each component, that with the least key; documents without words all stay."""
     spark, names = docs.sparkSession, docs.columns
     here, who, lost_ = fresh(docs, "set_id", "key", "lost")
-    scratch = Scratch(spark, "keep-one")
-    told = scratch.cut(classes_of(docs, key, text, shingle, part))
+    scratch, inner = Scratch(spark, "keep-one"), Scratch(spark, "jaccard")
+    told = scratch.cut(classes_of(docs, key, text, shingle, part, inner))
+    inner.keep()
 
     def tag(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows, data in batches_of(batches, text):
